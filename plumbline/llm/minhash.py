@@ -29,7 +29,7 @@ from .bpe import slices
 from .shared import columns, components, drop, small_batches, store, table
 
 TREES, TOKENS, ALIKE = 12, 64, 39
-LIMIT, BRANCH, DEEPEST = 64, 3, 16
+LIMIT, BRANCH, DEEPEST = 256, 3, 16
 _WORDS: dict[bytes, int] = {}
 
 
@@ -227,6 +227,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return store(both.select("a", "b", "wa", "wb").mapInArrow(_confirm(percent), "a binary, b binary, linked boolean"), "confirmed")
 
 
+def _joined(labels: DataFrame | None, tested: DataFrame) -> DataFrame:
+    """Components after links: the old ones' stars and the new links are joined."""
+    links = tested.where("linked").select("a", "b")
+    if labels is None:
+        return store(components(links), "components")
+    return labels if links.isEmpty() else store(components(labels.select(F.col("v").alias("a"), F.col("c").alias("b")).union(links)), "components")
+
+
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     rows = rows.drop("comp")
     if labels is None:
@@ -290,10 +298,7 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
         for done in tested:
             found = found.join(done, ["a", "b"], "left_anti")
         tested.append(_confirmed(found, sets, percent))
-        edges = tested[0].where("linked").select("a", "b")
-        for more in tested[1:]:
-            edges = edges.union(more.where("linked").select("a", "b"))
-        labels = store(components(edges), "components")
+        labels = _joined(labels, tested[-1])
         if not any_big:
             break
         impure = _thin_and_thick(_alive(_labelled(big, labels).select("key", "cls", "sig", "comp"), "mixed"))
@@ -317,8 +322,7 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
         more = more.join(done, ["a", "b"], "left_anti")
     more = store(more, "more")
     if not more.isEmpty():
-        edges = edges.union(_confirmed(more, sets, percent).where("linked").select("a", "b"))
-        labels = store(components(edges), "components")
+        labels = _joined(labels, _confirmed(more, sets, percent))
     placed = prepared.where("cls IS NOT NULL").select("doc_id", "tkey", "n_shingles", "cls").join(labels.withColumnRenamed("v", "cls"), "cls", "left").select("doc_id", "tkey", "n_shingles", F.coalesce("c", "cls").alias("comp"))
     return store(placed.union(prepared.where("cls IS NULL").select("doc_id", "tkey", "n_shingles", F.lit(None).cast("binary"))), "placed")
 

@@ -1,0 +1,120 @@
+"""Secrets: candidates by pattern, false positives removed by a random forest, with DataFrame functions alone.
+
+A candidate is a run of letters, digits and _ + / . - of at least 12 characters with a letter and a digit. The
+forest sees its length, its character transitions, how much of it dictionary words cover, what makes it look like
+a path, and the words beside it. It is trained from labelled findings: `labelled_findings` writes out a stated
+number of them, of known kinds of secrets and of what is often mistaken for one; a table of one's own findings
+(before, candidate, after, label) serves as well.
+
+Defined results: null and empty texts have no findings; whole texts are scanned, of any length; repeated rows
+repeat their findings; null ids are kept; an empty table gives no rows; columns other than those asked for are
+left out by find and kept by redact. at counts characters from 0, finding counts a document's candidates from 1.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .shared import columns, table
+
+RUN = "A-Za-z0-9_+/.-"
+CANDIDATE = rf"(?<![{RUN}])(?=[A-Za-z_+/.-]*[0-9])(?=[0-9_+/.-]*[A-Za-z])[{RUN}]{{11,}}[A-Za-z0-9]"
+#: Labelled findings that the forest is trained from.
+FINDINGS = 6_000
+NEAR = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|credential|private|bearer|(^|[^a-z])key)"
+FAR = r"(?i)(commit|sha-?\d|md5|checksum|digest|uuid|guid|version|release|hash|etag|mail|https?:|www)"
+WORDS = r"(?i)(example|release|version|build|index|mail|html|docs|test|changeme|password|your|sample|file|image|http|www|com|org|net|tion|ing|ent|est|the|and|ch|er|en)"
+PAIRS = r"(?i)(th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|ed|is|it|al|ar|st|to|nt|ou|ea|ha|ch|ei|qu|ie|ue|os|la)"
+KNOWN = r"^(AKIA|ASIA|ghp_|gho_|sk_live_|xox[bp]-|AIza|glpat-|npm_|eyJ)"
+INPUTS = ("n", "digits", "uppers", "runs", "distinct", "hex", "pairs", "covered", "slashes", "dots", "dashes", "at_sign", "assigned", "quoted", "near", "far", "known")
+
+
+def _inputs(df: DataFrame) -> DataFrame:
+    """df (before, candidate, after) with the forest's inputs."""
+    c, n = F.col("candidate"), F.length("candidate").cast("double")
+
+    def share(pattern: str):
+        return (n - F.length(F.regexp_replace(c, pattern, ""))) / n
+
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[A-Z]", "U"), "[a-z]", "l"), "[0-9]", "d")
+    flag = lambda x: x.cast("double")
+    made = {
+        "n": n, "digits": share("[0-9]"), "uppers": share("[A-Z]"), "runs": F.length(F.regexp_replace(kinds, r"(.)\1*", "$1")) / n,
+        "distinct": F.size(F.array_distinct(F.split(c, ""))) / n, "hex": flag(c.rlike("^([0-9a-f]+|[0-9A-F]+)$")), "pairs": share(PAIRS), "covered": share(WORDS),
+        "slashes": share("/"), "dots": share("[.]"), "dashes": share("[-_]"), "at_sign": flag(F.col("before").rlike(r"(@|://|/)$")),
+        "assigned": flag(F.col("before").rlike(r"""[=:]\s{0,2}["'`]?$""")), "quoted": flag(F.col("before").rlike(r"""["'`]$""") & F.col("after").rlike(r"""^["'`]""")),
+        "near": flag(F.col("before").rlike(NEAR)), "far": flag(F.col("before").rlike(FAR)), "known": flag(c.rlike(KNOWN)),
+    }
+    return df.select("*", *[v.alias(f"_{k}") for k, v in made.items()])
+
+
+def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
+    """before, candidate, after, label: findings made from hashes of a row number."""
+    hexed = "sha2(concat('finding', id), 512)"
+    mixed = f"replace(replace(base64(unhex({hexed})), '/', 'q'), '+', 'Z')"
+    upper = f"translate(upper(substr({hexed}, 1, 60)), '01289', 'GKQZ7')"
+    word = "element_at(array('then', 'ingot', 'vers', 'order', 'esten', 'tionen', 'lachen', 'queso'), CAST(id DIV 31 % 8 AS INT) + 1)"
+    kinds = [  # before, candidate, label
+        ("'token = \"'", f"substr({hexed}, 1, 40)", 1), ("'password='", f"substr({hexed}, 1, 18)", 1), ("' '", f"concat('AKIA', substr({upper}, 1, 16))", 1),
+        ("'api_key: \\''", f"substr({mixed}, 1, 32)", 1), ("'secret=\"'", f"substr({mixed}, 1, 24)", 1), ("'Bearer '", f"concat('eyJ', substr({mixed}, 1, 60), '.', substr({hexed}, 1, 40))", 1),
+        ("'use '", f"concat('ghp_', substr({mixed}, 1, 36))", 1), ("'secret_key='", f"concat('sk_live_', substr({mixed}, 1, 24))", 1), ("'auth token: '", f"substr({hexed}, 5, 32)", 1),
+        ("'commit '", f"substr({hexed}, 1, 40)", 0), ("'sha256: '", f"substr({hexed}, 1, 64)", 0), ("'md5 '", f"substr({hexed}, 1, 32)", 0),
+        ("'id '", f"concat_ws('-', substr({hexed}, 1, 8), substr({hexed}, 9, 4), substr({hexed}, 13, 4), substr({hexed}, 17, 4), substr({hexed}, 21, 12))", 0),
+        ("'jo@'", "concat('mail', id % 10, '.example.com')", 0), ("'https://host/'", f"concat('docs/v', id % 7, '/', {word}, '/index-', id % 90, '.html')", 0),
+        ("'password='", "element_at(array('changeme123456', 'your_password_1', 'example_password1', 'test1234test1234'), CAST(id DIV 17 % 4 AS INT) + 1)", 0),
+        ("'file '", "concat('release-20', 10 + id % 20, '.', 1 + id % 12, '-build', id % 9)", 0), ("' '", f"concat({word}, {word}, id % 100, {word})", 0), ("' '", f"substr({hexed}, 1, 40)", 0), ("'size '", f"concat(id % 5000, {word}, {word}, {word})", 0),
+    ]
+    pick = lambda i: "CASE " + " ".join(f"WHEN id % {len(kinds)} = {k} THEN {x[i]}" for k, x in enumerate(kinds)) + " END"
+    made = spark.range(n).selectExpr("id", f"concat({word}, ' ', {pick(0)}) AS before", f"{pick(1)} AS candidate", "'\" ' AS after", f"CAST({pick(2)} AS DOUBLE) AS label")
+    return made.select(*[F.when(F.expr("id DIV 20 % 6 = 0"), F.upper(x)).otherwise(F.col(x)).alias(x) for x in ("before", "candidate", "after")], "label")
+
+
+def train(findings: DataFrame) -> RandomForestClassificationModel:
+    """A forest from findings (before, candidate, after, label)."""
+    rows = VectorAssembler(inputCols=[f"_{k}" for k in INPUTS], outputCol="_x").transform(_inputs(findings)).select("_x", "label").coalesce(1)
+    return RandomForestClassifier(featuresCol="_x", labelCol="label", numTrees=40, maxDepth=8, seed=8).fit(rows)
+
+
+def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """A row for each candidate: docs' other columns, finding, at, before, candidate, after."""
+    others = [c for c in docs.columns if c != text]
+    rows = docs.where(F.col(text).rlike(CANDIDATE))
+    pieces = rows.select(
+        *others, F.col(text).alias("_t"), F.regexp_extract_all(text, F.lit(rf"([\s\S]*?)({CANDIDATE})"), F.lit(1)).alias("_gaps"), F.regexp_extract_all(text, F.lit(rf"([\s\S]*?)({CANDIDATE})"), F.lit(2)).alias("_found"),
+    )
+    ends = "aggregate(zip_with(_gaps, _found, (g, f) -> length(g) + length(f)), array(0), (a, n) -> concat(a, array(element_at(a, -1) + n)))"
+    each = pieces.select(*others, "_t", "_gaps", F.expr(ends).alias("_ends"), F.posexplode("_found").alias("_i", "candidate"))
+    each = each.withColumn("at", F.expr("_ends[_i + 1] - length(candidate)"))
+    return each.select(*others, (F.col("_i") + 1).alias("finding"), "at", F.expr("right(_gaps[_i], 40)").alias("before"), "candidate", F.expr("substr(_t, at + length(candidate) + 1, 20)").alias("after"))
+
+
+def scored(found: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
+    """found with score and is_secret."""
+    rows = VectorAssembler(inputCols=[f"_{k}" for k in INPUTS], outputCol="_x").transform(_inputs(found))
+    return model.setFeaturesCol("_x").transform(rows).withColumn("score", vector_to_array("probability")[1]).withColumn("is_secret", F.col("score") >= 0.5).select(*found.columns, "score", "is_secret")
+
+
+def find(docs: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
+    """doc_id, finding, at, n_chars, value_sha256, score, is_secret of every candidate in docs (doc_id, text)."""
+    rows = scored(candidates(columns(docs, "doc_id", "text")), model)
+    return rows.select("doc_id", "finding", "at", F.length("candidate").alias("n_chars"), F.sha2("candidate", 256).alias("value_sha256"), "score", "is_secret")
+
+
+def redact(docs: DataFrame, model: RandomForestClassificationModel, mask: str = "[SECRET]", text: str = "text") -> DataFrame:
+    """docs with each secret in text replaced by mask. Rows without candidates pass as they are."""
+    some = F.coalesce(F.col(text).rlike(CANDIDATE), F.lit(False))
+    touched = docs.where(some).withColumn("_row", F.struct(*docs.columns))
+    rows = scored(candidates(touched.select("_row", F.col(text))), model)
+    rows = rows.where("is_secret").groupBy(F.xxhash64(F.to_json("_row")).alias("_key"), F.sha2(F.col(f"_row.`{text}`"), 256).alias("_sha")).agg(F.collect_set("candidate").alias("_secrets"))
+    keyed = docs.where(some).withColumn("_key", F.xxhash64(F.to_json(F.struct(*docs.columns)))).withColumn("_sha", F.sha2(F.col(text), 256))
+    cleaned = F.expr(f"aggregate(array_sort(coalesce(_secrets, CAST(array() AS ARRAY<STRING>)), (a, b) -> length(b) - length(a)), `{text}`, (t, s) -> replace(t, s, '{mask}'))")
+    out = keyed.join(rows, ["_key", "_sha"], "left").withColumn(text, cleaned).select(*docs.columns)
+    return docs.where(~some).union(out)
+
+
+def op8(spark, sf_dir: str) -> DataFrame:
+    return find(table(spark, sf_dir, "documents"), train(labelled_findings(spark)))

@@ -111,7 +111,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     u, v = edges.columns
     kind = edges.schema[u].dataType.simpleString()
-    left = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v")
+    left = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct()
     levels = []
     while True:
         trees = store(left.mapInArrow(_forest, f"v {kind}, r {kind}"), "trees")
