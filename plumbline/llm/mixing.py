@@ -56,9 +56,10 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each row of docs (doc_id, source, size)."""
+    """doc_id, size, source_size, target, taken of each row of docs (doc_id, source, size), and its other columns."""
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "size")]
     spark = docs.sparkSession
-    slim = store(docs.select("doc_id", "source", F.col("size").cast("long").alias("size"), F.expr("CAST(conv(substr(md5(coalesce(CAST(doc_id AS STRING), '')), 1, 15), 16, 10) AS BIGINT)").alias("key")), "keys")
+    slim = store(docs.select("doc_id", "source", F.col("size").cast("long").alias("size"), *others, F.expr("CAST(conv(substr(md5(coalesce(CAST(doc_id AS STRING), '')), 1, 15), 16, 10) AS BIGINT)").alias("key")), "keys")
     aims = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, most)
     rows = slim.count()
     per_range = min(RANGE_ROWS, max(1, rows // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
@@ -74,13 +75,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     )
     budget = F.floor("target").cast("long")
     return placed.select(
-        "doc_id", "size", "source_size", "target",
+        "doc_id", "size", "source_size", "target", *others,
         F.when(F.col("source_size") == 0, F.lit(0).cast("long"))
         .otherwise(F.expr("floor(target) DIV source_size") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.expr("floor(target) % source_size") - F.col("before"))))
         .cast("long").alias("taken"),
     )
 
 
+def sample(docs: DataFrame, weights=WEIGHTS, most: int = MOST, text: str = "text") -> DataFrame:
+    """docs mixed: each row as often as the mix has epochs that reach it, and never cut; rows without words as often
+    as there are whole epochs. Repeated rows count together."""
+    keyed = docs.withColumn("_row", F.sha2(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}), 256))
+    mixed = mix(keyed.select("doc_id", "source", word_count(text).alias("size"), "_row"), weights, most)
+    epochs = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).when(F.col("source_size") > 0, F.expr("floor(target) DIV source_size")).otherwise(1)
+    times = store(mixed.groupBy("_row").agg(F.sum(epochs).cast("int").alias("_times")).where("_times > 0"), "epochs")
+    return keyed.dropDuplicates(["_row"]).join(times, "_row").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = columns(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
     return mix(docs.select("doc_id", "source", word_count("text").alias("size")))

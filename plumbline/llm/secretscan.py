@@ -23,6 +23,8 @@ from .shared import columns, table
 
 RUN = "A-Za-z0-9_+/.-"
 CANDIDATE = rf"(?<![{RUN}])(?=[A-Za-z_+/.-]*[0-9])(?=[0-9_+/.-]*[A-Za-z])[{RUN}]{{11,}}[A-Za-z0-9]"
+#: What stands before a candidate, and it; at the end of a text what is left, and nothing.
+PIECE = rf"([\s\S]*?)({CANDIDATE}|\z)"
 #: Labelled findings that the forest is trained from.
 FINDINGS = 6_000
 NEAR = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|credential|private|bearer|(^|[^a-z])key)"
@@ -84,10 +86,10 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     others = [c for c in docs.columns if c != text]
     rows = docs.where(F.col(text).rlike(CANDIDATE))
     pieces = rows.select(
-        *others, F.col(text).alias("_t"), F.regexp_extract_all(text, F.lit(rf"([\s\S]*?)({CANDIDATE})"), F.lit(1)).alias("_gaps"), F.regexp_extract_all(text, F.lit(rf"([\s\S]*?)({CANDIDATE})"), F.lit(2)).alias("_found"),
+        *others, F.col(text).alias("_t"), F.regexp_extract_all(text, F.lit(PIECE), F.lit(1)).alias("_gaps"), F.regexp_extract_all(text, F.lit(PIECE), F.lit(2)).alias("_found"),
     )
     ends = "aggregate(zip_with(_gaps, _found, (g, f) -> length(g) + length(f)), array(0), (a, n) -> concat(a, array(element_at(a, -1) + n)))"
-    each = pieces.select(*others, "_t", "_gaps", F.expr(ends).alias("_ends"), F.posexplode("_found").alias("_i", "candidate"))
+    each = pieces.select(*others, "_t", "_gaps", F.expr(ends).alias("_ends"), F.posexplode(F.filter("_found", lambda c: c != "")).alias("_i", "candidate"))
     each = each.withColumn("at", F.expr("_ends[_i + 1] - length(candidate)"))
     return each.select(*others, (F.col("_i") + 1).alias("finding"), "at", F.expr("right(_gaps[_i], 40)").alias("before"), "candidate", F.expr("substr(_t, at + length(candidate) + 1, 20)").alias("after"))
 

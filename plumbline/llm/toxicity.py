@@ -239,3 +239,18 @@ def train(spark, sf_dir: str, docs: DataFrame) -> tuple:
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = columns(table(spark, sf_dir, "documents"), "doc_id", "text")
     return score(docs.withColumn("held_out", held_out()), train(spark, sf_dir, docs)).select("doc_id", "held_out", "score", "predicted")
+
+
+def keep_clean(docs: DataFrame, model: tuple, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that aren't predicted toxic."""
+    lexicon, exceptions, curve = model
+
+    def run(batches):
+        matcher = Matcher(lexicon, exceptions)
+        for whole in batches:
+            at = whole.schema.names.index(text)
+            for batch in slices(whole, at):
+                x = [matcher.inputs(fold(t)) for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array([not curve or curve[0] + curve[1] * a + curve[2] * b < 0 for a, b in x], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
