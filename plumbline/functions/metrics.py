@@ -6,13 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+PARTS = 1024
+
+
 def auc(df: DataFrame, y: str = "y", score: str = "score", *by: str) -> DataFrame:
-    """Rank AUC, ties averaged, null for a single class. Equal scores are counted first; ranks are sums over scores."""
-    counts = df.groupBy(*by, score).agg(F.sum(F.col(y).cast("long")).alias("p"), F.count("*").alias("n"))
-    below = Window.partitionBy(*(by or (F.lit(0),))).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("under", F.coalesce(F.sum(F.col("n") - F.col("p")).over(below), F.lit(0)))
-    won = F.sum(F.col("p") * (F.col("under") + (F.col("n") - F.col("p")) / 2.0))
-    pairs = F.sum("p").cast("double") * F.sum(F.col("n") - F.col("p"))
+    """Rank AUC, ties averaged, null for a single class; null scores are left out.
+
+    Equal scores are counted first. Scores then fall in parts between their least and greatest, so ranks are a part's
+    offset and a sum inside the part, and no task sorts all scores."""
+    rows = df.where(F.col(score).isNotNull()).select(*by, F.col(score).cast("double").alias("_s"), F.col(y).cast("long").alias("_y"))
+    counts = rows.groupBy(*by, "_s").agg(F.sum("_y").alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg"))
+    ends = counts.groupBy(*by).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
+    joined = counts.join(ends, [*by]) if by else counts.crossJoin(F.broadcast(ends))  # one row
+    width = F.col("_hi") - F.col("_lo")
+    parts = joined.withColumn("_part", F.when(width > 0, F.floor((F.col("_s") - F.col("_lo")) / width * PARTS)).otherwise(0))
+    before = Window.partitionBy(*(by or (F.lit(0),))).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.groupBy(*by, "_part").agg(F.sum("_neg").alias("_k")).withColumn("_under", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
+    inside = Window.partitionBy(*by, "_part").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = parts.withColumn("_in", F.coalesce(F.sum("_neg").over(inside), F.lit(0))).join(offsets, [*by, "_part"])
+    won = F.sum(F.col("_pos") * (F.col("_under") + F.col("_in") + F.col("_neg") / 2.0))
+    pairs = F.max("_p").cast("double") * F.max("_n")
     return ranked.groupBy(*by).agg(F.when(pairs > 0, won / pairs).alias("auc"))
 
 
