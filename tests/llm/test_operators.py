@@ -195,7 +195,10 @@ def test_mixing_meets_targets(spark, docs):
     for r in rows.groupBy("source_size", "target").agg(F.sum("taken").alias("t"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect():
         assert r.t == int(r.target) and r.over <= 0
     mixed = mixing.sample(docs)
-    assert mixed.columns == docs.columns and mixed.exceptAll(mixed.dropDuplicates()).count() >= 0
+    assert mixed.columns == docs.columns
+    times = {r.text: r["count"] for r in mixed.where("doc_id BETWEEN 1 AND 59").groupBy("text").count().collect()}
+    taken = {r.doc_id: -(-r.taken // r.size) for r in rows.where("doc_id BETWEEN 1 AND 59").collect()}
+    assert times == {t: taken[i] for i, t in docs.where("doc_id BETWEEN 1 AND 59").select("doc_id", "text").collect() if taken[i]}
     assert mixing.mix(docs.select("doc_id", "source", F.lit(1).alias("size")).where("false")).count() == 0
 
 
