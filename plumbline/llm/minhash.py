@@ -30,7 +30,6 @@ from .shared import columns, components, drop, small_batches, store, table
 
 TREES, TOKENS, ALIKE = 12, 64, 39
 LIMIT, BRANCH, DEEPEST = 256, 3, 16
-_WORDS: dict[bytes, int] = {}
 
 
 def _mix(h):
@@ -49,22 +48,14 @@ def shingles(text: bytes | None, k: int):
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_WORDS) > 300_000:
-        _WORDS.clear()
-    known, digest = _WORDS, xxhash.xxh64_intdigest
-    hashed = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = digest(w)
-        hashed.append(h)
-    w = np.array(hashed, np.uint64)
+    w = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), np.uint64)
     n = max(1, len(w) - k + 1)
     odd = _mix(np.arange(1, k + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     h = np.full(n, odd[k] * np.uint64(min(len(w), k)), np.uint64)
     for i in range(min(k, len(w))):
         h += w[i : i + n] * odd[i]
-    return np.unique(_mix(h))
+    h = np.sort(_mix(h))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def _signer():
