@@ -3,7 +3,7 @@
 Documents become sets of hashed word shingles; equal sets form one class and only classes are compared. Several
 independent trees start from one minwise token each: classes that share it meet in a node. A node of up to `LIMIT`
 classes is compared exhaustively in its task, on short signatures; of the pairs that look similar enough it
-hands on a spanning forest. A larger node compares all its classes with a hub and then branches by further
+hands on a spanning forest. A larger node compares all its classes with a hub and then branches, first by set size, then by further
 minwise tokens chosen from its key; nodes whose classes all belong to one component already end there. Links are
 confirmed on full sets, components follow from links, and a last pass over the small nodes hands on every similar
 pair that links have not connected yet. So no pair within a group is written more than needed to connect it, and
@@ -20,6 +20,8 @@ other columns are left out by near_duplicates and kept by deduplicate. Shingles
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -256,6 +258,13 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return cut.select(F.expr("xxhash64(key, 'block', block)").alias("key"), "cls", "sig", "comp", F.lit(2).cast("long").alias("n"))
 
 
+def _by_size(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Nodes parted by set size: sets as similar as percent lie in one band or in two that touch, so no link is lost."""
+    width = math.log(100 / min(percent, 99)) * (1 + 1e-9)  # sizes at the very threshold differ by less than a band
+    cut = rows.join(sizes, "cls").withColumn("low", F.floor(F.log("size") / width)).withColumn("band", F.explode(F.array("low", F.col("low") + 1)))
+    return cut.select(F.expr("xxhash64(key, 'size', band)").alias("key"), "cls", "sig", "comp")
+
+
 def _all_blocks(rows: DataFrame) -> DataFrame:
     """Nodes that no branching parts: every two of their blocks as a small node."""
     cut = rows.withColumn("blocks", F.ceil(F.col("n") / (LIMIT // 2)).cast("int")).withColumn("block", F.expr("CAST(pmod(xxhash64(cls, 7), blocks) AS INT)"))
@@ -268,7 +277,7 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
     prepared = store(keyed.select("doc_id", "tkey", F.col("text").cast("binary").alias("text")).mapInArrow(_classes(k), "doc_id long, tkey long, n_shingles long, cls binary, keys array<long>, sig binary"), "prepared")
-    each = store(prepared.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tkey")).alias("rep"), F.max("keys").alias("keys"), F.max("sig").alias("sig")), "classes")
+    each = store(prepared.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tkey")).alias("rep"), F.max("keys").alias("keys"), F.max("sig").alias("sig"), F.max("n_shingles").alias("size")), "classes")
     rows = _alive(each.select("cls", "sig", F.explode("keys").alias("key"), F.col("cls").alias("comp")), "alive")
     smalls, tested, sets, labels = [], [], None, None
     depth = 0
@@ -295,7 +304,9 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
         impure = _thin_and_thick(_alive(_labelled(big, labels).select("key", "cls", "sig", "comp"), "mixed"))
         thick = impure.where(~F.col("few"))
         depth += 1
-        if depth < DEEPEST:
+        if depth == 1:
+            child = _alive(_by_size(thick, each.select("cls", "size"), percent), "alive")
+        elif depth < DEEPEST:
             place = F.expr(f"CAST(pmod(xxhash64(key, choice), {TOKENS}) AS INT) + 1")
             child = thick.withColumn("choice", F.explode(F.sequence(F.lit(1), F.lit(BRANCH)))).withColumn("at", place)
             child = _alive(child.select(F.expr("xxhash64(key, choice, substr(sig, at, 1))").alias("key"), "cls", "sig", "comp"), "alive")
