@@ -5,8 +5,8 @@ independent trees start from one minwise token each: classes that share it meet
 classes is compared exhaustively in its task, on short signatures; of the pairs that look similar enough it
 hands on a spanning forest. A larger node compares all its classes with a hub and then branches, first by set size, then by further
 minwise tokens chosen from its key; nodes whose classes all belong to one component already end there. Links are
-confirmed on full sets, components follow from links, and a last pass over the small nodes hands on every similar
-pair that links have not connected yet. So no pair within a group is written more than needed to connect it, and
+confirmed on full sets, components follow from links. A last pass over the small nodes compares, in place, the full
+sets of similar pairs that links have not connected yet. So a node hands on fewer pairs than it has classes, and
 no node is gathered in a task unless it is small.
 
 A pair of similarity s meets in the first token of a tree with probability s; twelve trees miss a pair at 0.8 with
@@ -31,7 +31,9 @@ from .bpe import slices
 from .shared import columns, components, drop, small_batches, store, table
 
 TREES, TOKENS, ALIKE = 12, 64, 39
-LIMIT, BRANCH, DEEPEST = 256, 3, 16
+LIMIT, BRANCH, DEEPEST = 4096, 3, 16
+#: Shingles of a block when full sets are compared in a node.
+SHINGLES = 2_000_000
 
 
 def _mix(h):
@@ -115,34 +117,24 @@ def _sets(k: int):
 
 
 def _groups(batches):
-    """(cls, comp, signatures) of each node, from rows sorted by key: key, cls, sig, comp."""
+    """(classes, signatures, component numbers, rows) of each node of two or more, from rows sorted by key: key, cls, sig, comp, ..."""
     import numpy as np
 
     rest = None
     for batch in _and_end(batches):
-        if batch is None:
-            if rest is None or not rest.num_rows:
-                return
-            t, last = rest, True
-        else:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([rest, t]) if rest is not None else t
-            last = False
-        if not t.num_rows:
+        t = pa.Table.from_batches([batch]) if batch is not None else None
+        t = pa.concat_tables([x for x in (rest, t) if x is not None]) if rest is not None or t is not None else None
+        if t is None or not t.num_rows:
             continue
-        key = t.column(0).combine_chunks().to_numpy(zero_copy_only=False)
-        cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        ends = cuts if last else cuts[:-1]
-        if len(ends) > 1:
-            upto = int(ends[-1])
-            cls, comp = t.column(1).slice(0, upto).to_pylist(), t.column(3).slice(0, upto).to_pylist()
-            sig = np.frombuffer(b"".join(t.column(2).slice(0, upto).to_pylist()), np.uint8).reshape(upto, TOKENS)
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                if b - a > 1:
-                    yield cls[a:b], comp[a:b], sig[a:b]
-        rest = t.slice(int(cuts[-2])) if not last else None
-        if last:
-            return
+        key = t.column(0).to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]).tolist()
+        for x, y in zip(cuts[:-1], cuts[1:] if batch is None else cuts[1:-1], strict=False):
+            if y - x > 1:
+                rows, seen = t.slice(x, y - x), {}
+                comp = np.array([seen.setdefault(c, len(seen)) for c in rows.column(3).to_pylist()])
+                sig = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(-1, TOKENS)
+                yield rows.column(1).to_pylist(), np.ascontiguousarray(sig.T), comp, rows
+        rest = t.slice(cuts[-2])
 
 
 def _and_end(batches):
@@ -150,42 +142,96 @@ def _and_end(batches):
     yield None
 
 
-def _pairs(forest: bool):
-    """Similar pairs of different components in each node; with forest, only as many as connect them."""
+def _equal(sig, u: int):
+    """How many tokens of each class equal those of class u."""
+    return (sig == sig[:, u : u + 1]).sum(axis=0, dtype="uint8").astype("int16")
+
+
+def _written(pairs):
+    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.binary()), pa.array([max(p) for p in pairs], pa.binary())], names=["a", "b"])
+
+
+def _forest(batches):
+    """A largest spanning forest of each node's similar pairs of different components, grown class by class."""
+    import numpy as np
+
+    pairs = []
+    for cls, sig, comp, _ in _groups(batches):
+        best, parent, done = np.zeros(len(cls), np.int16), np.zeros(len(cls), np.int64), np.zeros(len(cls), bool)
+        for _ in cls:
+            u = int(best.argmax())
+            if ALIKE <= best[u] <= TOKENS:
+                pairs.append((cls[parent[u]], cls[u]))
+            done[u] = True
+            equal = _equal(sig, u)
+            equal[comp == comp[u]] = TOKENS + 1
+            nearer = ~done & (equal > best)
+            best[nearer], parent[nearer] = equal[nearer], u
+            best[u] = -1
+        if len(pairs) > 20_000:
+            yield _written(pairs)
+            pairs = []
+    yield _written(pairs)
+
+
+def _unsettled(batches):
+    """Rows whose class has a similar one of another component in its node."""
+    import numpy as np
+
+    for cls, sig, comp, rows in _groups(batches):
+        open_ = np.array([((_equal(sig, u) >= ALIKE) & (comp != comp[u])).any() for u in range(len(cls))])
+        if open_.any():
+            yield from rows.filter(pa.array(open_)).to_batches()
+
+
+def _links(percent: int):
+    """Of each node's similar pairs of different components, linked ones that join them; full sets are compared in place."""
 
     def run(batches):
         import numpy as np
 
-        a, b = [], []
-        for cls, comp, sig in _groups(batches):
-            equal = np.stack([(sig == s).sum(axis=1) for s in sig])
-            i, j = np.nonzero(np.triu(equal >= ALIKE, 1))
-            if len(i) and forest:
-                order = np.lexsort((j, i, -equal[i, j]))
-                i, j = i[order], j[order]
-            up = {c: c for c in comp} if forest else None
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                p, q = comp[x], comp[y]
-                if forest:
-                    while up[p] != p:
-                        p = up[p]
-                    while up[q] != q:
-                        q = up[q]
-                if p != q:
-                    if forest:
-                        up[p] = q
-                    a.append(min(cls[x], cls[y])), b.append(max(cls[x], cls[y]))
-            if len(a) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        pairs = []
+        for cls, sig, comp, rows in _groups(batches):
+            words = [np.frombuffer(w, np.uint64) for w in rows.column(4).to_pylist()]
+            size = np.array([len(w) for w in words])
+            ends = np.cumsum(size)
+            number = np.unique(np.concatenate(words), return_inverse=True)[1]
+            sets = np.split(number, ends[:-1])
+            mine = np.zeros(int(number.max()) + 1, bool)
+            for u in range(len(cls) - 1):
+                near = (_equal(sig, u) >= ALIKE) & (comp != comp[u]) & (100 * np.minimum(size, size[u]) >= percent * np.maximum(size, size[u]))
+                near[: u + 1] = False
+                mine[sets[u]] = True
+                for v in np.flatnonzero(near).tolist():
+                    if comp[v] == comp[u]:
+                        continue
+                    both = int(np.count_nonzero(mine[sets[v]]))
+                    if 100 * both >= percent * (int(size[u]) + int(size[v]) - both):
+                        comp[comp == comp[v]] = comp[u]
+                        pairs.append((cls[u], cls[v]))
+                mine[sets[u]] = False
+            if len(pairs) > 20_000:
+                yield _written(pairs)
+                pairs = []
+        yield _written(pairs)
 
     return run
 
 
-def _in_nodes(rows: DataFrame, forest: bool) -> DataFrame:
-    dealt = rows.select("key", "cls", "sig", "comp").repartition("key").sortWithinPartitions("key", "cls")
-    return dealt.mapInArrow(_pairs(forest), "a binary, b binary").distinct()
+def _in_nodes(rows: DataFrame) -> DataFrame:
+    """Rows of nodes, those of a node together."""
+    return rows.repartition("key").sortWithinPartitions("key", "cls")
+
+
+def _settled(rows: DataFrame, each: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that the forests missed. Only classes that still may have one bring their sets to the node; one with
+    more than SHINGLES is dealt in blocks, and every two of them meet."""
+    left = store(_in_nodes(rows.select("key", "cls", "sig", "comp")).mapInArrow(_unsettled, "key long, cls binary, sig binary, comp binary"), "unsettled")
+    blocks = left.join(each.select("cls", "size"), "cls").groupBy("key").agg(F.ceil(F.sum("size") / SHINGLES).cast("int").alias("blocks"))
+    cut = left.join(blocks, "key").withColumn("block", F.expr("CAST(pmod(xxhash64(cls, 7), blocks) AS INT)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.withColumn("key", F.xxhash64("key", F.lit("whole"), F.least("block", "other"), F.greatest("block", "other")))
+    whole = cut.join(sets, "cls").select("key", "cls", "sig", "comp", "words")
+    return store(_in_nodes(whole).mapInArrow(_links(percent), "a binary, b binary").distinct(), "more")
 
 
 def _alike(batches):
@@ -284,7 +330,7 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     while True:
         small, big = rows.where(F.col("n") <= LIMIT), rows.where(F.col("n") > LIMIT)
         smalls.append(small)
-        found = store(_in_nodes(small, True), "forest")
+        found = store(_in_nodes(small.select("key", "cls", "sig", "comp")).mapInArrow(_forest, "a binary, b binary").distinct(), "forest")
         any_big = not big.isEmpty()
         if sets is None:
             met = found.select(F.col("a").alias("cls")).union(found.select(F.col("b").alias("cls"))).union(big.select("cls")).distinct()
@@ -319,12 +365,8 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     for small in smalls:
         rows = _labelled(small.select("key", "cls", "sig"), labels)
         last = rows.select("key", "cls", "sig", "comp") if last is None else last.union(rows.select("key", "cls", "sig", "comp"))
-    more = _in_nodes(_alive(last, "last"), False)
-    for done in tested:
-        more = more.join(done, ["a", "b"], "left_anti")
-    more = store(more, "more")
-    if not more.isEmpty():
-        labels = _joined(labels, _confirmed(more, sets, percent))
+    more = _settled(_alive(last, "last"), each, sets, percent)
+    labels = _joined(labels, more.withColumn("linked", F.lit(True)))
     placed = prepared.where("cls IS NOT NULL").select("doc_id", "tkey", "n_shingles", "cls").join(labels.withColumnRenamed("v", "cls"), "cls", "left").select("doc_id", "tkey", "n_shingles", F.coalesce("c", "cls").alias("comp"))
     return store(placed.union(prepared.where("cls IS NULL").select("doc_id", "tkey", "n_shingles", F.lit(None).cast("binary"))), "placed")
 
