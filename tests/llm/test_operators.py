@@ -82,6 +82,7 @@ def test_near_duplicates_equal_brute_force(spark, texts):
 
 def test_large_nodes_branch_and_stay_exact(spark, monkeypatch):
     monkeypatch.setattr(minhash, "LIMIT", 4)
+    monkeypatch.setattr(minhash, "SHINGLES", 150)
     r = random.Random(1)
     base = [f"v{i}" for i in range(60)]
     rows = []
