@@ -3,8 +3,10 @@
 Vectors of one label are compared, equal ones as one class. Random hyperplanes deal classes to small blocks, whose
 best pairs start a graph of each class's nearest neighbours. A round joins, at every class, its neighbours and
 those it is a neighbour of; what is nearer than a list's last enters it. Lists whose neighbours are all links are
-saturated and may grow to four times their length. An audit compares a few classes with all of their label and
-counts how many of their links join one component; until that recall is reached, rounds go on with longer lists.
+saturated and may grow to four times their length. An audit compares a few classes with all of their label: for each
+component, what share of its classes' links lies inside it. Until that recall is reached, rounds go on with longer
+lists; links that the audit finds are added. Where rounds end before, or too few components have links to tell, every
+two blocks of a label are compared, which is exact and takes time that grows with the square of a label's size.
 Links are pairs at the threshold. Last, an exact check counts each class's links inside its component, block by
 block: both ends of a link are in one component, so lists that were too short lose no link there.
 
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from .shared import columns, components, drop, store, table
 
 NEIGHBOURS, STARTS, BLOCK, CHECKED = 10, 6, 96, 1024
-#: Classes audited, the recall of their links to be reached, and rounds at most.
-AUDITED, RECALL, ROUNDS = 256, 0.995, 6
+#: Classes audited first and at most, components that those with links come from, the recall to be reached, and rounds at most.
+AUDITED, MOST_AUDITED, LINKED, RECALL, ROUNDS = 1024, 4096, 64, 0.995, 6
 
 
 def _prepared(batches):
@@ -121,34 +123,106 @@ def _best(graph: DataFrame, most: int, threshold: float) -> DataFrame:
 
 
 def _audit(sample, threshold: float):
+    """For each audited class, its links in a batch and how many lie in its component, and one link to each other component."""
+
     def run(batches):
         import numpy as np
 
+        of: dict = {}
+        for l, k, v, c in sample:
+            of.setdefault(l, []).append((k, v, c))
         for batch in batches:
-            a, b = [], []
-            labels, keys, vecs = (batch.column(i).to_pylist() for i in range(3))
-            of: dict = {}
+            a, b, n, good = [], [], [], []
+            labels, keys, vecs, comps = (batch.column(i).to_pylist() for i in range(4))
+            places: dict = {}
             for i, l in enumerate(labels):
-                of.setdefault(l, []).append(i)
-            for l, at in of.items():
-                mine = [(k, v) for sl, k, v in sample if sl == l]
+                places.setdefault(l, []).append(i)
+            for l, at in places.items():
+                mine = of.get(l, [])
                 if mine:
-                    c = _units([v for _, v in mine]) @ _units([vecs[i] for i in at]).T
-                    for x, y in zip(*np.nonzero(c >= threshold), strict=True):
-                        if mine[x][0] != keys[at[y]]:
-                            a.append(mine[x][0]), b.append(keys[at[y]])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                    hit = _units([m[1] for m in mine]) @ _units([vecs[i] for i in at]).T >= threshold
+                    for x in np.flatnonzero(hit.any(axis=1)).tolist():
+                        found = [at[y] for y in np.flatnonzero(hit[x]).tolist() if keys[at[y]] != mine[x][0]]
+                        other = {comps[i]: keys[i] for i in found if comps[i] != mine[x][2]}
+                        if found:
+                            a.append(mine[x][0]), b.append(None), n.append(len(found)), good.append(sum(comps[i] == mine[x][2] for i in found))
+                        for k in other.values():
+                            a.append(mine[x][0]), b.append(k), n.append(0), good.append(0)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64()), pa.array(good, pa.int64())], names=["a", "b", "n", "good"])
+
+    return run
+
+
+def _placed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """label, key, vec, c: each class with its component, itself where it has no link."""
+    return nodes.join(labels.withColumnRenamed("v", "key"), "key", "left").select("label", "key", "vec", F.coalesce("c", "key").alias("c"))
+
+
+def audit(nodes: DataFrame, labels: DataFrame, threshold: float) -> tuple[float | None, DataFrame]:
+    """(share of the audited classes' links that lie in their component, links between components that they have).
+
+    Each class has one share, and each component the mean of its classes, so that a large one counts once. More
+    classes are audited until those with links come from LINKED components; None if there are too few of them.
+    """
+    placed, most = store(_placed(nodes, labels), "placed"), AUDITED
+    while True:
+        sample = [(r.label, r.key, r.vec, r.c) for r in placed.orderBy(F.xxhash64("key"), "key").limit(most).collect()]  # MOST_AUDITED rows at most
+        seen = store(placed.mapInArrow(_audit(sample, threshold), "a binary, b binary, n long, good long"), "audited")
+        shares, of = {}, {k: c for _, k, _, c in sample}
+        for r in seen.where("b IS NULL").groupBy("a").agg((F.sum("good") / F.sum("n")).alias("share")).collect():  # a row an audited class
+            shares.setdefault(of[bytes(r.a)], []).append(r.share)
+        everything = len(sample) < most
+        if everything or len(shares) >= LINKED or most >= MOST_AUDITED:
+            break
+        most *= 4
+    missed = seen.where("b IS NOT NULL").select("a", "b")
+    if not everything and len(shares) < LINKED:
+        return None, missed
+    return (sum(sum(s) / len(s) for s in shares.values()) / len(shares) if shares else 1.0), missed
+
+
+def _bridges(threshold: float):
+    """Links of a node that join its components, one for each two joined."""
+
+    def run(batches):
+        import numpy as np
+
+        def out(rows):
+            u, side, names, pairs = _units([r[2] for r in rows]), np.array([r[4] for r in rows]), {}, []
+            comp = np.array([names.setdefault(r[3], len(names)) for r in rows])
+            mixed = side.min() != side.max()
+            mine = np.flatnonzero(side == side.min())
+            other = np.flatnonzero(side != side.min()) if mixed else mine
+            hit = u[mine] @ u[other].T >= threshold
+            for i, x in enumerate(mine.tolist()):
+                for y in other[hit[i] & (comp[other] != comp[x])].tolist():
+                    if comp[y] != comp[x]:
+                        comp[comp == comp[y]] = comp[x]
+                        pairs.append((rows[x][1], rows[y][1]))
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
+
+        node, rows = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if row[0] != node:
+                    if len(rows) > 1:
+                        yield out(rows)
+                    node, rows = row[0], []
+                rows.append(row)
+        if len(rows) > 1:
+            yield out(rows)
 
     return run
 
 
-def audit(nodes: DataFrame, labels: DataFrame, threshold: float) -> tuple[float, DataFrame]:
-    """(share of the audited classes' links that lie in one component, those links)."""
-    sample = [(r.label, r.key, r.vec) for r in nodes.orderBy(F.xxhash64("key"), "key").limit(AUDITED).select("label", "key", "vec").collect()]  # AUDITED rows
-    links = store(nodes.select("label", "key", "vec").mapInArrow(_audit(sample, threshold), "a binary, b binary"), "audited")
-    c = lambda k: labels.select(F.col("v").alias(k), F.col("c").alias(f"c{k}"))
-    n, good = links.join(c("a"), "a", "left").join(c("b"), "b", "left").agg(F.count("*"), F.sum((F.col("ca") == F.col("cb")).cast("int"))).first()
-    return ((good or 0) / n if n else 1.0), links
+def bridges(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links that join all components that any link joins; every two blocks of a label are compared."""
+    rows = store(_placed(nodes, labels), "placed")
+    size = store(rows.groupBy("label").agg(F.ceil(F.count("*") / CHECKED).cast("int").alias("blocks")), "sizes")
+    cut = rows.join(size, "label").withColumn("block", F.expr("CAST(pmod(xxhash64(key, 5), blocks) AS INT)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.withColumn("node", F.concat_ws("|", "label", F.least("block", "other"), F.greatest("block", "other")))
+    dealt = cut.select("node", "key", "vec", "c", F.col("block").alias("side")).repartition("node").sortWithinPartitions("node", "key")
+    return store(dealt.mapInArrow(_bridges(threshold), "a binary, b binary").distinct(), "bridges")
 
 
 def _checked(threshold: float):
@@ -205,6 +279,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     first = store(_in_nodes(store(starts, "starts"), most // 2), "first")
     links = store(first.where(F.col("cos") >= threshold).select("src", "dst").distinct(), "links")
     graph = store(_best(first, most, threshold), "graph")
+    recall = None
     for round_ in range(ROUNDS):
         around = graph.select(F.col("src").alias("at"), F.col("dst").alias("key")).union(graph.select("dst", "src")).union(graph.select("src", "src")).union(graph.select("dst", "dst")).distinct()
         joined = around.join(nodes.select("key", "vec"), "key").select(F.hex("at").alias("node"), "key", "vec")
@@ -214,9 +289,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         labels = store(components(links), "components")
         if round_:
             recall, missed = audit(nodes, labels, threshold)
-            if recall >= RECALL:
+            if recall is None or recall >= RECALL:
                 break
             links, most = store(links.union(missed).distinct(), "links"), 2 * most
+    more = missed if recall is not None and recall >= RECALL else bridges(nodes, labels, threshold)
+    if not more.isEmpty():
+        labels = store(components(labels.select(F.col("v").alias("a"), F.col("c").alias("b")).union(more)), "components")
     exact = store(exact_links(nodes, labels, threshold), "exact")
     out = rows.where("key IS NOT NULL").join(nodes.select("key", "n"), "key").join(labels.withColumnRenamed("v", "key"), "key", "left").join(exact, "key", "left")
     out = store(out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("c", "key").alias("comp")), "placed")

@@ -129,6 +129,31 @@ def test_vectors_equal_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(200, 206))
 
 
+def test_vectors_that_rounds_miss_are_found(spark, monkeypatch):
+    for name, value in {"NEIGHBOURS": 2, "STARTS": 1, "BLOCK": 1, "CHECKED": 16, "AUDITED": 4, "MOST_AUDITED": 4, "ROUNDS": 2}.items():
+        monkeypatch.setattr(nndescent, name, value, raising=False)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(60, 16))
+    x = np.concatenate([base, base + rng.normal(size=(60, 16)) * 0.12])
+    got = {r.vec_id: r for r in nndescent.near_duplicates(spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = lambda i, j: u[i] @ u[j] >= 0.98
+    comp = brute_components(len(x), link)
+    assert [(got[i].n_links, got[i].component_id) for i in range(len(x))] == [(sum(link(i, j) for j in range(len(x)) if j != i), comp[i]) for i in range(len(x))]
+
+
+def test_dense_component_does_not_hide_missed_pairs(spark):
+    rng = np.random.default_rng(7)
+    one, pairs = rng.normal(size=16), rng.normal(size=(20, 16))
+    x = np.concatenate([one + rng.normal(size=(200, 16)) * 0.01, pairs, pairs + rng.normal(size=(20, 16)) * 0.01])
+    keys = [bytes([i // 250, i % 250]) for i in range(len(x))]
+    nodes = spark.createDataFrame([("a", k, v.tobytes(), 1) for k, v in zip(keys, x, strict=True)], "label string, key binary, vec binary, n long")
+    labels = spark.createDataFrame([(k, keys[0]) for k in keys[:200]], "v binary, c binary")
+    recall, missed = nndescent.audit(nodes, labels, 0.98)
+    assert recall < nndescent.RECALL
+    assert {(bytes(r[0]), bytes(r[1])) for r in missed.collect()} >= {(keys[200 + i], keys[220 + i]) for i in range(20)}
+
+
 def test_toxicity_folds_matches_and_excepts():
     m = toxicity.Matcher({" idiot ": 5.0, " vequ": 4.0, " loser ": 3.0}, [" no idiot "])
     hit = lambda t: [h[3] for h in m.hits(toxicity.fold(t))]
