@@ -1,11 +1,14 @@
 """Masked pseudo-likelihood: a small network predicts every token from the tokens on both sides.
 
-Tokens are words, hashed to 65,536 buckets. Bucket counts over all documents split the buckets into classes of
-about equal mass. The network sees the classes of two tokens to the left and two to the right, never the token's
-own, and predicts its class; within a class, a bucket has its share of the counts. A document's score is the sum of
-its tokens' log-probabilities. Counting is a distributed sum. Training is numpy on every partition over all
-its tokens, each from the same start, in `ROUNDS` rounds; after a round the weights are averaged by tokens seen, as
-distributed sums of as many numbers as the network has.
+Tokens are words, A-Z lower-cased, each with its own count in a distributed table. Words in order of frequency are
+split into classes of about equal mass, as many as the cube root of the words and 64 at least. The network sees the
+classes of two tokens to the left and two to the right, never the token's own, and predicts its class; within a
+class, a word has its share of the counts. A document's score is the sum of its tokens' log-probabilities. Documents
+are numbered chunk by chunk by the words of the chunk, and only the distinct words of a chunk are joined with the
+table. Training is numpy on every partition over all its tokens, each from the same start, in `ROUNDS` rounds; after
+a round the weights are averaged by tokens seen, as distributed sums of as many numbers as the network has.
+
+A word that the table lacks counts as one of count 0, in the last class; one is added to each count.
 
 Defined results: null and empty texts have no tokens, log_prob 0 and per_token null; whole texts are scored, of any
 length; repeated rows count as often as they stand there and get equal scores; null ids are kept; an empty table
@@ -14,7 +17,8 @@ gives no rows; other columns are left out. Averages are sums of doubles, so the
 
 from __future__ import annotations
 
-import zlib
+import math
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,62 +27,141 @@ from pyspark.sql import functions as F
 from .bpe import slices
 from .shared import columns, small_batches, store, table
 
-BUCKETS, CLASSES, HIDDEN, ROUNDS, RATE, BATCH = 65_536, 64, 16, 1, 0.5, 2048
+LEAST, HIDDEN, ROUNDS, RATE, BATCH = 64, 16, 2, 0.5, 2048
 SIDES = (-2, -1, 1, 2)
-_KNOWN: dict[bytes, int] = {}
-
-
-def tokens(text: bytes | None) -> list[int]:
-    if len(_KNOWN) > 300_000:
-        _KNOWN.clear()
-    out, known = [], _KNOWN
-    for w in (text or b"").lower().split():
-        i = known.get(w)
-        if i is None:
-            i = known[w] = zlib.crc32(w) & (BUCKETS - 1)
-        out.append(i)
-    return out
+#: The class beyond a document's ends: the last row of a side's table, however many classes there are.
+CLASSES = -1
+#: Tokens of a chunk, and words that a lookup fetches at once.
+CHUNK, FETCHED = 4_000_000, 10_000
 
 
-def _each(batches, at: int):
-    """Parts of batches with all their tokens, and each document's number of them."""
+def tokens(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
+
+
+class _Places(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+
+def _encoded(batches):
+    """Rows of documents, their tokens as places in their chunk's words; rows of the chunk's words, with counts."""
     import numpy as np
 
+    names = ["chunk", "doc_id", "ids", "word", "place", "n"]
+
+    def written(known, docs, ids):
+        chunk, words = uuid.uuid4().bytes, list(known)
+        counts = np.bincount(np.concatenate(ids), minlength=len(words))
+        for i in range(0, len(docs), 10_000):
+            d = docs[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(d), pa.binary()), pa.array(d, pa.int64()), pa.array([x.tobytes() for x in ids[i : i + 10_000]], pa.binary()), pa.nulls(len(d), pa.binary()), pa.nulls(len(d), pa.int32()), pa.nulls(len(d), pa.int64())], names=names)
+        for i in range(0, len(words), 50_000):
+            w = words[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(w), pa.binary()), pa.nulls(len(w), pa.int64()), pa.nulls(len(w), pa.binary()), pa.array(w, pa.binary()), pa.array(range(i, i + len(w)), pa.int32()), pa.array(counts[i : i + len(w)], pa.int64())], names=names)
+
+    known, docs, ids, held = _Places(), [], [], 0
     for whole in batches:
-        for batch in slices(whole, at):
-            got = [tokens(t) for t in batch.column(at).to_pylist()]
-            yield batch, np.array([i for g in got for i in g], np.int64), np.array([len(g) for g in got], np.int64)
+        for batch in slices(whole, 1):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                got = np.array([known[w] for w in tokens(text)], np.int32)
+                docs.append(doc), ids.append(got)
+                held += len(got) + 16
+                if held > CHUNK:
+                    yield from written(known, docs, ids)
+                    known, docs, ids, held = _Places(), [], [], 0
+    if docs:
+        yield from written(known, docs, ids)
+
+
+def encode(docs: DataFrame, text: str = "text") -> DataFrame:
+    small_batches(docs.sparkSession)
+    number = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None)
+    given = docs.select(number.cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    return store(given.mapInArrow(_encoded, "chunk binary, doc_id long, ids binary, word binary, place int, n long"), "encoded")
 
 
-def _counts(batches):
-    import numpy as np
+class Words:
+    """The table word, cls, share. words[w] looks a single one up: its class, or its log share in the class."""
+
+    def __init__(self, rows: DataFrame, column: str, unseen):
+        self.rows, self.column, self.unseen, self.known = rows, column, unseen, None
+
+    def __getitem__(self, word: bytes):
+        if self.known is None:
+            self.known = {bytes(r.word): r[self.column] for r in self.rows.limit(FETCHED).collect()}  # FETCHED rows
+        if word not in self.known:
+            r = self.rows.where(F.col("word") == F.lit(word)).first()
+            self.known[word] = r[self.column] if r else self.unseen
+        return self.known[word]
+
+
+def class_count(words: int) -> int:
+    return max(LEAST, math.ceil(words ** (1 / 3)))
+
 
-    total = np.zeros(BUCKETS, np.int64)
-    for _, ids, _ in _each(batches, 0):
-        total += np.bincount(ids, minlength=BUCKETS)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
+def classes(parts: DataFrame) -> tuple[Words, Words, int]:
+    """(class of each word, log share of each word in its class, number of classes), one added to each count.
+
+    Words come in order of frequency to a sixteenth of a doubling, then of a hash.
+    """
+    spark = parts.sparkSession
+    counted = store(parts.where("word IS NOT NULL").groupBy("word").agg((F.sum("n") + 1).alias("n")).withColumn("bin", F.floor(16 * F.log2("n")).cast("int")), "counted")
+    before, bins, words = 0, [], 0
+    for r in sorted(counted.groupBy("bin").agg(F.sum("n").alias("mass"), F.count("*").alias("k")).collect(), key=lambda r: -r.bin):  # 16 rows a doubling
+        bins.append((r.bin, float(before), float(r.mass)))
+        before, words = before + r.mass, words + r.k
+    many = class_count(words)
+    at = F.col("before") + F.col("mass") * (F.expr("pmod(xxhash64(word), 1000003)") / 1000003)
+    cut = counted.join(F.broadcast(spark.createDataFrame(bins, "bin int, before double, mass double")), "bin").select("word", "n", F.least(F.lit(many - 1), F.floor(at / max(before, 1) * many).cast("int")).alias("cls"))
+    cut = store(cut, "classed")
+    mass = {r.cls: r.mass for r in cut.groupBy("cls").agg(F.sum("n").alias("mass")).collect()}  # a row a class
+    mass[many - 1] = mass.get(many - 1, 0) + 1
+    given = spark.createDataFrame([(c, float(m)) for c, m in mass.items()], "cls int, mass double")
+    rows = store(cut.join(F.broadcast(given), "cls").select("word", "cls", F.log(F.col("n") / F.col("mass")).alias("share")), "words")
+    return Words(rows, "cls", many - 1), Words(rows, "share", -math.log(mass[many - 1])), many
+
+
+def coded(parts: DataFrame, cls: Words, share: Words) -> DataFrame:
+    """doc_id, codes, share of each document: its tokens' classes and the sum of their log shares."""
+
+    def run(docs, words):
+        import numpy as np
 
+        kind, part = np.zeros(words.num_rows, np.uint16), np.zeros(words.num_rows)
+        place = words.column("place").to_numpy()
+        kind[place], part[place] = words.column("cls").to_numpy(), words.column("share").to_numpy()
+        ids = docs.column("ids").to_pylist()
+        sizes = np.array([len(i) // 4 for i in ids], np.int64)
+        flat = np.frombuffer(b"".join(ids), np.int32)
+        ends, sums, codes = np.cumsum(sizes), np.concatenate([[0.0], np.cumsum(part[flat])]), kind[flat]
+        return pa.table({"doc_id": docs.column("doc_id"), "codes": pa.array([codes[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary()), "share": pa.array(sums[ends] - sums[ends - sizes])})
 
-def classes(counts):
-    """(class of each bucket, log share of each bucket in its class) from all buckets' counts, one added to each."""
+    docs = parts.where("ids IS NOT NULL").select("chunk", "doc_id", "ids")
+    found = parts.where("word IS NOT NULL").select("chunk", "word", "place").join(cls.rows, "word", "left")
+    found = found.select(F.col("chunk").alias("of"), "place", F.coalesce("cls", F.lit(cls.unseen)).alias("cls"), F.coalesce("share", F.lit(share.unseen)).alias("share"))
+    return store(docs.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(run, "doc_id long, codes binary, share double"), "coded")
+
+
+def _each(batches, at: int):
+    """Parts of batches with the classes of all their tokens, and each document's number of them."""
     import numpy as np
 
-    n = counts + 1.0
-    order = np.argsort(-n, kind="stable")
-    middle = np.cumsum(n[order]) - n[order] / 2
-    cls = np.empty(BUCKETS, np.int64)
-    cls[order] = np.minimum(CLASSES - 1, (middle / n.sum() * CLASSES).astype(np.int64))
-    mass = np.bincount(cls, weights=n, minlength=CLASSES)
-    return cls, np.log(n / mass[cls])
+    for whole in batches:
+        for batch in slices(whole, at):
+            codes = batch.column(at).to_pylist()
+            yield batch, np.frombuffer(b"".join(codes), np.uint16).astype(np.int64), np.array([len(c) // 2 for c in codes], np.int64)
 
 
-def start():
+def start(many: int):
     """The network's first weights: a table of hidden inputs for each side, biases, the output layer."""
     import numpy as np
 
     rng = np.random.default_rng(2)
-    return [rng.normal(0, 0.1, (len(SIDES), CLASSES + 1, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.1, (HIDDEN, CLASSES)), np.zeros(CLASSES)]
+    return [rng.normal(0, 0.1, (len(SIDES), many + 1, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.1, (HIDDEN, many)), np.zeros(many)]
 
 
 def _context(cls, sizes):
@@ -110,7 +193,9 @@ def fit(weights, cls, sizes, rate: float = RATE):
     """One pass of stochastic descent over the tokens."""
     import numpy as np
 
-    context, eye = _context(cls, sizes), np.eye(CLASSES + 1, dtype=np.float32)
+    tables = weights[0]
+    context, rows = _context(cls, sizes), tables.shape[1]
+    first = (np.arange(len(SIDES)) * rows)[:, None]
     for i in range(0, len(cls), BATCH):
         c, y = context[:, i : i + BATCH], cls[i : i + BATCH]
         hidden, p = _forward(weights, c)
@@ -120,8 +205,8 @@ def fit(weights, cls, sizes, rate: float = RATE):
         weights[2] -= hidden.T @ p
         weights[3] -= p.sum(axis=0)
         weights[1] -= back.sum(axis=0)
-        for s in range(len(SIDES)):
-            weights[0][s] -= eye[c[s]].T @ back
+        at = ((c % rows + first)[:, :, None] * HIDDEN + np.arange(HIDDEN)).ravel()
+        tables -= np.bincount(at, weights=np.tile(back.ravel(), len(SIDES)), minlength=tables.size).reshape(tables.shape).astype(np.float32)
     return weights
 
 
@@ -135,73 +220,78 @@ def _shaped(flat):
     import numpy as np
 
     out, at = [], 0
-    for w in start():
+    inputs = (len(SIDES) + 1) * HIDDEN
+    for w in start((len(flat) - inputs) // (inputs + 1)):
         out.append(np.array(flat[at : at + w.size], np.float32).reshape(w.shape))
         at += w.size
     return out
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple:
-    """(class of each bucket, log shares, weights) from all of docs."""
-    import numpy as np
-
-    spark = docs.sparkSession
-    small_batches(spark)
-    texts = docs.select(F.col(text).cast("binary").alias("text"))
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in texts.mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # one row a bucket
-        counts[r.bucket] = r.n
-    cls, share = classes(counts)
-    flat = _flat(start())
+def _learned(rows: DataFrame, many: int, rounds: int):
+    """The weights after some rounds over all coded documents."""
+    spark, flat = rows.sparkSession, _flat(start(many))
     for _ in range(rounds):
-        given = spark.sparkContext.broadcast((cls, flat))  # as large as the network and the buckets
+        given = spark.sparkContext.broadcast(flat)  # as large as the network
 
         def learned(batches, given=given):
-            cls, flat = given.value
-            weights, seen = _shaped(flat), 0
-            for _, ids, sizes in _each(batches, 0):
-                if len(ids):
-                    weights, seen = fit(weights, cls[ids], sizes), seen + len(ids)
+            import numpy as np
+
+            weights, seen = _shaped(given.value), 0
+            for _, cls, sizes in _each(batches, 0):
+                if len(cls):
+                    weights, seen = fit(weights, cls, sizes), seen + len(cls)
             if seen:
                 w = _flat(weights).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(w)), pa.int32()), pa.array(w * seen), pa.array([seen] * len(w), pa.int64())], names=["i", "w", "n"])
 
-        got = texts.mapInArrow(learned, "i int, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()  # one row a weight
+        got = rows.select("codes").mapInArrow(learned, "i int, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()  # one row a weight
         for r in got:
             flat[r.i] = r.w
-    return cls, share, flat
+    return flat
+
+
+def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple:
+    """(class of each word, log shares, weights) from all of docs."""
+    parts = encode(docs, text)
+    cls, share, many = classes(parts)
+    return cls, share, _learned(coded(parts, cls, share), many, rounds)
 
 
-def log_probs(model: tuple, ids, sizes):
-    """Each token's log-probability given its neighbours."""
+def log_probs(weights, cls, sizes):
+    """Log-probability of each token's class given its neighbours."""
     import numpy as np
 
-    cls, share, flat = model
-    weights, y = _shaped(flat), cls[ids]
-    context, out = _context(y, sizes), share[ids].copy()
-    for i in range(0, len(ids), BATCH):
+    context, out = _context(cls, sizes), np.empty(len(cls))
+    for i in range(0, len(cls), BATCH):
         _, p = _forward(weights, context[:, i : i + BATCH])
-        out[i : i + BATCH] += np.log(np.maximum(p[np.arange(len(p)), y[i : i + BATCH]], 1e-30))
+        out[i : i + BATCH] = np.log(np.maximum(p[np.arange(len(p)), cls[i : i + BATCH]], 1e-30))
     return out
 
 
-def score(docs: DataFrame, model: tuple) -> DataFrame:
-    """doc_id, n_tokens, log_prob, per_token of docs (doc_id, text)."""
-    small_batches(docs.sparkSession)
-    given = docs.sparkSession.sparkContext.broadcast(model)
+def _scored(rows: DataFrame, flat) -> DataFrame:
+    given = rows.sparkSession.sparkContext.broadcast(flat)
 
     def run(batches):
         import numpy as np
 
-        for batch, ids, sizes in _each(batches, 1):
-            sums = np.concatenate([[0.0], np.cumsum(log_probs(given.value, ids, sizes))])
+        weights = _shaped(given.value)
+        for batch, cls, sizes in _each(batches, 1):
+            sums = np.concatenate([[0.0], np.cumsum(log_probs(weights, cls, sizes))])
             ends = np.cumsum(sizes)
-            total = sums[ends] - sums[ends - sizes]
+            total = sums[ends] - sums[ends - sizes] + batch.column(2).to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(total), pa.array(np.where(sizes > 0, total / np.maximum(sizes, 1), 0.0), mask=sizes == 0)], names=["doc_id", "n_tokens", "log_prob", "per_token"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, per_token double")
+    return rows.select("doc_id", "codes", "share").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, per_token double")
+
+
+def score(docs: DataFrame, model: tuple) -> DataFrame:
+    """doc_id, n_tokens, log_prob, per_token of docs (doc_id, text)."""
+    cls, share, flat = model
+    return _scored(coded(encode(docs), cls, share), flat)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    docs = columns(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return score(docs, train(docs))
+    parts = encode(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    cls, share, many = classes(parts)
+    rows = coded(parts, cls, share)
+    return _scored(rows, _learned(rows, many, ROUNDS))

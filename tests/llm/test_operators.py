@@ -254,3 +254,22 @@ def test_language_model_scores(spark, docs):
             total += z[cls[t]] - np.log(np.exp(z).sum()) + share[t]
         assert got[r.doc_id].n_tokens == len(ids) and got[r.doc_id].log_prob == pytest.approx(total, abs=1e-2)
     assert lm.score(docs.where("false"), model).count() == 0
+
+
+def test_rare_word_is_not_scored_as_a_frequent_one(spark):
+    import zlib
+
+    bucket = lambda w: zlib.crc32(w.encode()) & 65_535
+    junk = next(w for w in (f"q{i}" for i in range(10_000_000)) if bucket(w) == bucket("often"))
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(r.choices(words, k=20) + ["often"] * 10)) for i in range(200)] + [(1000, "often"), (1001, junk), (1002, "never seen")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.log_prob for x in lm.score(docs, lm.train(docs.where("doc_id < 1002"))).collect()}
+    assert got[1001] < got[1000] - 1 and np.isfinite(got[1002])
+
+
+def test_classes_grow_with_the_words(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(400))) for i in range(1000)], "doc_id long, text string")
+    tables, _, out, _ = lm._shaped(lm.train(docs, rounds=1)[2])
+    assert out.shape[1] == tables.shape[1] - 1 > 64
