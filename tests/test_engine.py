@@ -88,3 +88,37 @@ def test_report_is_stable(spark, tmp_path):
     assert list(r["ladder"]) == ["naive", "groupkfold", "groupkfold_batchcorrected"]
     assert [f["check"] for f in r["findings"]][:5] == ["dimensionality", "class_balance", "duplicate_rows", "subject_leakage", "batch_confound"]
     assert (tmp_path / "report.md").read_text() == report.render(r, "2024-01-01")
+
+
+def both_ways(monkeypatch, run, *keys):
+    """Rows of run in the matrix form and in the long form."""
+    out = []
+    for most in (select.MOST_CELLS, 10):
+        monkeypatch.setattr(select, "MOST_CELLS", most)
+        out.append([tuple(r) for r in run().orderBy(*keys).collect()])
+    return out
+
+
+def test_large_samples_are_cross_validated(spark, monkeypatch):
+    ready = select.with_folds(samples(spark, signal=0.7), "binary", True, 2).cache()
+    small, large = both_ways(monkeypatch, lambda: select.cross_validate(ready, ["naive", "groupkfold_batchcorrected"], k=3), "rung", "fold")
+    assert [r[:2] for r in large] == [r[:2] for r in small] and [r[2] for r in large] == pytest.approx([r[2] for r in small], abs=1e-4)
+    price = ready.withColumn("y", F.col("features")[0] + F.col("features")[1] * F.col("features")[2])
+    small, large = both_ways(monkeypatch, lambda: select.cross_validate(price, ["naive"], "regression", 3), "fold")
+    assert [r[2] for r in large] == pytest.approx([r[2] for r in small], abs=1e-4)
+
+
+@pytest.mark.parametrize("task, n", [("binary", 90), ("binary", 420), ("multiclass", 90)])
+def test_large_samples_are_predicted(spark, monkeypatch, task, n):
+    rows = samples(spark, n, signal=0.7)
+    rows = rows.withColumn("y", (F.col("row_id") % 3).cast("int")) if task == "multiclass" else rows
+    ready = select.with_folds(rows, task, True, 2).cache()
+    small, large = both_ways(monkeypatch, lambda: select.out_of_fold(ready, task, ("logreg",), 3), "row_id")
+    assert [r[:4] for r in large] == [r[:4] for r in small]
+    assert np.array([r[4] for r in large]) == pytest.approx(np.array([r[4] for r in small]), abs=1e-3)
+
+
+def test_large_samples_are_searched(spark, monkeypatch):
+    ready = select.with_folds(samples(spark, signal=0.7), "binary", True, 2).cache()
+    small, large = both_ways(monkeypatch, lambda: select.nested_grid(ready, "binary", [{"value": 0.1, "k": 2}, {"value": 1.0, "k": 4}]), "fold")
+    assert [r[:3] for r in large] == [r[:3] for r in small] and [r[3] for r in large] == pytest.approx([r[3] for r in small], abs=1e-4)
