@@ -1,7 +1,7 @@
 """Secrets: candidates by pattern, false positives removed by a random forest, with DataFrame functions alone.
 
-A candidate is a run of letters, digits and _ + / . - of at least 12 characters with a letter and a digit. The
-forest sees its length, its character transitions, how much of it dictionary words cover, what makes it look like
+A candidate is a run of letters, digits and _ + / . - of at least 12 characters with a letter and a digit, or any
+value of at least 4 characters that is assigned to a secret-like name, or quoted after one. The forest sees its length, its character transitions, how much of it dictionary words cover, what makes it look like
 a path, and the words beside it. It is trained from labelled findings: `labelled_findings` writes out a stated
 number of them, of known kinds of secrets and of what is often mistaken for one; a table of one's own findings
 (before, candidate, after, label) serves as well.
@@ -22,7 +22,12 @@ from pyspark.sql import functions as F
 from .shared import columns, table
 
 RUN = "A-Za-z0-9_+/.-"
-CANDIDATE = rf"(?<![{RUN}])(?=[A-Za-z_+/.-]*[0-9])(?=[0-9_+/.-]*[A-Za-z])[{RUN}]{{11,}}[A-Za-z0-9]"
+LONG = rf"(?<![{RUN}])(?=[A-Za-z_+/.-]*[0-9])(?=[0-9_+/.-]*[A-Za-z])[{RUN}]{{11,}}[A-Za-z0-9]"
+NAME = r"(?i:token|secret|passw|passphrase|pwd|api.?key|access.?key|auth|credential|private|bearer|(?<![a-z])key)[A-Za-z0-9_-]{0,20}[\"'`]?"
+#: After a name: a value in quotes, and one up to white space. The short lookbehinds spare the long one most places.
+QUOTED = rf"(?<=[\"'`])(?<=[=:\s][\"'`])(?<={NAME}\s{{0,2}}[=:]{{0,2}}\s{{0,2}}[\"'`])[^\"'`\r\n]{{4,200}}(?=[\"'`])"
+BARE = rf"(?<=[=:\s])(?<=[=:]\s{{0,2}})(?<={NAME}\s{{0,2}}[=:]{{1,2}}\s{{0,2}})[^\s\"'`<>=:][^\s\"'`<>]{{2,}}[^\s\"'`<>.,;:?)\]}}]"
+CANDIDATE = rf"(?:{QUOTED}|{BARE}|{LONG})"
 #: What stands before a candidate, and it; at the end of a text what is left, and nothing.
 PIECE = rf"([\s\S]*?)({CANDIDATE}|\z)"
 #: Labelled findings that the forest is trained from.
@@ -60,6 +65,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     mixed = f"replace(replace(base64(unhex({hexed})), '/', 'q'), '+', 'Z')"
     upper = f"translate(upper(substr({hexed}, 1, 60)), '01289', 'GKQZ7')"
     word = "element_at(array('then', 'ingot', 'vers', 'order', 'esten', 'tionen', 'lachen', 'queso'), CAST(id DIV 31 % 8 AS INT) + 1)"
+    other = "element_at(array('horse', 'river', 'staple', 'winter', 'monkey', 'falke', 'sombra', 'jardin'), CAST(id DIV 251 % 8 AS INT) + 1)"
     kinds = [  # before, candidate, label
         ("'token = \"'", f"substr({hexed}, 1, 40)", 1), ("'password='", f"substr({hexed}, 1, 18)", 1), ("' '", f"concat('AKIA', substr({upper}, 1, 16))", 1),
         ("'api_key: \\''", f"substr({mixed}, 1, 32)", 1), ("'secret=\"'", f"substr({mixed}, 1, 24)", 1), ("'Bearer '", f"concat('eyJ', substr({mixed}, 1, 60), '.', substr({hexed}, 1, 40))", 1),
@@ -69,6 +75,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         ("'jo@'", "concat('mail', id % 10, '.example.com')", 0), ("'https://host/'", f"concat('docs/v', id % 7, '/', {word}, '/index-', id % 90, '.html')", 0),
         ("'password='", "element_at(array('changeme123456', 'your_password_1', 'example_password1', 'test1234test1234'), CAST(id DIV 17 % 4 AS INT) + 1)", 0),
         ("'file '", "concat('release-20', 10 + id % 20, '.', 1 + id % 12, '-build', id % 9)", 0), ("' '", f"concat({word}, {word}, id % 100, {word})", 0), ("' '", f"substr({hexed}, 1, 40)", 0), ("'size '", f"concat(id % 5000, {word}, {word}, {word})", 0),
+        ("'secret='", f"concat({word}, {other}, {word}, {other}, 'ing')", 1), ("'pwd='", f"concat({word}, id % 100, {other})", 1), ("'password = \"'", f"concat(substr({mixed}, 1, 7), '&', substr({mixed}, 9, 5), '!')", 1),
+        ("'author: '", word, 0), ("'password: '", f"concat({word}, 'en')", 0), ("'key = \"'", f"concat({word}, ' ', {other})", 0), ("'token: '", word, 0),
     ]
     pick = lambda i: "CASE " + " ".join(f"WHEN id % {len(kinds)} = {k} THEN {x[i]}" for k, x in enumerate(kinds)) + " END"
     made = spark.range(n).selectExpr("id", f"concat({word}, ' ', {pick(0)}) AS before", f"{pick(1)} AS candidate", "'\" ' AS after", f"CAST({pick(2)} AS DOUBLE) AS label")
@@ -89,9 +97,9 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         *others, F.col(text).alias("_t"), F.regexp_extract_all(text, F.lit(PIECE), F.lit(1)).alias("_gaps"), F.regexp_extract_all(text, F.lit(PIECE), F.lit(2)).alias("_found"),
     )
     ends = "aggregate(zip_with(_gaps, _found, (g, f) -> length(g) + length(f)), array(0), (a, n) -> concat(a, array(element_at(a, -1) + n)))"
-    each = pieces.select(*others, "_t", "_gaps", F.expr(ends).alias("_ends"), F.posexplode(F.filter("_found", lambda c: c != "")).alias("_i", "candidate"))
+    each = pieces.select(*others, "_t", F.expr(ends).alias("_ends"), F.posexplode(F.filter("_found", lambda c: c != "")).alias("_i", "candidate"))
     each = each.withColumn("at", F.expr("_ends[_i + 1] - length(candidate)"))
-    return each.select(*others, (F.col("_i") + 1).alias("finding"), "at", F.expr("right(_gaps[_i], 40)").alias("before"), "candidate", F.expr("substr(_t, at + length(candidate) + 1, 20)").alias("after"))
+    return each.select(*others, (F.col("_i") + 1).alias("finding"), "at", F.expr("substr(_t, greatest(at - 39, 1), least(at, 40))").alias("before"), "candidate", F.expr("substr(_t, at + length(candidate) + 1, 20)").alias("after"))
 
 
 def scored(found: DataFrame, model: RandomForestClassificationModel) -> DataFrame:

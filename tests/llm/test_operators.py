@@ -273,3 +273,17 @@ def test_classes_grow_with_the_words(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(400))) for i in range(1000)], "doc_id long, text string")
     tables, _, out, _ = lm._shaped(lm.train(docs, rounds=1)[2])
     assert out.shape[1] == tables.shape[1] - 1 > 64
+
+
+def test_assigned_values_are_candidates(spark):
+    texts = {"secret=correcthorsebatterystaple and": "correcthorsebatterystaple", "pwd=hunter2pass": "hunter2pass", 'password = "Tr0ub4dor&3xyz!"': "Tr0ub4dor&3xyz!"}
+    value = "wJalrXUtnFEMIqK7MDENGbPxRfiCYzz"
+    texts[f"AWS_S3_SECRET_ACCESS_KEY={value}"] = value
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = secretscan.candidates(docs).collect()
+    for i, (t, v) in enumerate(texts.items()):
+        r = next(r for r in got if (r.doc_id, r.candidate) == (i, v))
+        assert r["at"] == t.index(v) and r.before == t[: t.index(v)][-40:]
+    model = secretscan.train(secretscan.labelled_findings(spark))
+    clean = {r.doc_id: r.text for r in secretscan.redact(docs, model).collect()}
+    assert [v in clean[i] for i, v in enumerate(texts.values())] == [False] * 4
