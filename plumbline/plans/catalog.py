@@ -131,6 +131,13 @@ def audit_summary(spark, d):
     return audit.summary(spark.createDataFrame(found, audit.FINDING))
 
 
+@query()
+def audit_summary_embeddings(spark, d):
+    """audit_summary counts findings written out; this one counts those of a whole table."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("y"), F.col("embedding").alias("features"))
+    return audit.summary(audit.audit(rows, "y", selection_global=True, preprocessing_global=False))
+
+
 # Outcome and features -----------------------------------------------------------------------------------------------
 
 

@@ -27,3 +27,9 @@ def test_equals_duckdb(spark, duck, name):
     got = sorted(repr(tuple(r[c] for c in cols)) for r in df.collect())
     want = sorted(map(repr, rel.select(*[f'"{c}"' for c in cols]).fetchall()))
     assert got == want
+
+
+def test_summary_counts_the_findings_of_a_table(spark):
+    severities = [r.severity for r in catalog.QUERIES["audit_findings"](spark, SF).collect()]
+    got = catalog.QUERIES["audit_summary_embeddings"](spark, SF).first()
+    assert (got.n_critical, got.n_warning) == (severities.count("critical"), severities.count("warning"))
