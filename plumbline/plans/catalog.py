@@ -406,6 +406,29 @@ def nested_cv(spark, d):
     return rounded(select.nested_grid(ready, "binary", [{"value": v, "k": k} for v in (0.1, 1.0) for k in (5, 20)]), 4)
 
 
+@query()
+def oof_calibrated_kinds(spark, d):
+    ready = select.with_folds(vector_samples(spark, d), "binary", True)
+    return rounded(metrics.auc(select.out_of_fold(ready, "binary").withColumn("p", F.col("proba")[0]), "y", "p", "kind"), 4)
+
+
+@query()
+def nested_kinds(spark, d):
+    return rounded(select.nested_kinds(select.with_folds(vector_samples(spark, d), "binary", True)), 4)
+
+
+@query()
+def grid_best(spark, d):
+    scores = select.grid_scores(select.with_folds(vector_samples(spark, d), "binary", True))
+    means = scores.groupBy("place", "value", "k").agg(F.avg("score").alias("score"))
+    return rounded(means.orderBy(F.desc("score"), "place").limit(1).select("value", "k", "score"), 4)
+
+
+@query()
+def nested_cv_full(spark, d):
+    return rounded(select.nested_grid(select.with_folds(vector_samples(spark, d), "binary", True)), 4)
+
+
 # Scripts ------------------------------------------------------------------------------------------------------------
 
 SCRIPTS = {

@@ -33,3 +33,10 @@ def test_summary_counts_the_findings_of_a_table(spark):
     severities = [r.severity for r in catalog.QUERIES["audit_findings"](spark, SF).collect()]
     got = catalog.QUERIES["audit_summary_embeddings"](spark, SF).first()
     assert (got.n_critical, got.n_warning) == (severities.count("critical"), severities.count("warning"))
+
+
+def test_both_kinds_and_whole_grids_run(spark):
+    run = lambda name: catalog.QUERIES[name](spark, SF).collect()
+    assert {r.kind for r in run("oof_calibrated_kinds")} == {"logreg", "hgb"}
+    assert len(run("nested_kinds")) == len(run("nested_cv_full")) == 5
+    assert len(run("grid_best")) == 1
