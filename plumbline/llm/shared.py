@@ -73,9 +73,10 @@ def _drop_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 4000, size: str = "4m") -> None:
     """Bound what one Arrow batch of long texts takes in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def _forest(batches):

@@ -3,9 +3,13 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
+import public_tokenizers as P
+import pyarrow as pa
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, lm, minhash, mixing, nndescent, quality, secretscan, shared, tokencount, toxicity, warc
@@ -31,9 +35,6 @@ def docs(spark, texts):
 
 
 def test_bpe_equals_tiktoken(docs):
-    import public_tokenizers as P
-    import tiktoken
-
     path = P.path("byte_bpe_50k.tiktoken")
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     rows = bpe.encode(docs, path, P.PATTERN, digests=True)
@@ -71,6 +72,20 @@ def brute_components(n, linked):
     return [root(i) for i in range(n)]
 
 
+def test_bpe_of_long_pieces_and_odd_spaces():
+    rnd = random.Random(3)
+    path = P.path("byte_bpe_50k.tiktoken")
+    codec = bpe.Codec(bpe.read_ranks(path), P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    began = time.time()
+    texts = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), "=" * 5001, "".join(rnd.choices("etaoin", k=3000)), "".join(rnd.choices("-=", k=5000)), "".join(rnd.choices("日本語字", k=2000))]
+    odd = " \n\t\r\x0b\x1c\x85\xa0\u3000.,'!?aBéß日0²_-"
+    texts += ["".join(rnd.choices(odd, k=rnd.randint(0, 40))) for _ in range(2000)] + ["", " ", "\n\n\n", "a   b", "x \n y", "don't I'll"]
+    got = codec.encode(pa.array(texts))["ids"].to_pylist()
+    assert time.time() - began < 60
+    assert [ids == enc.encode_ordinary(t) for t, ids in zip(texts, got, strict=True)] == [True] * len(texts)
+
+
 def test_near_duplicates_equal_brute_force(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sets = brute_sets(texts, 4)
@@ -191,9 +206,6 @@ def test_warc_round_trip(spark):
 
 
 def test_token_counts_stitch_blocks(spark, docs):
-    import public_tokenizers as P
-    import tiktoken
-
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
     path = shared.work_path(spark, "tokens")
     manifest = tokencount.write(docs, path, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 50256)
