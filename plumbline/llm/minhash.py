@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .shared import columns, components, drop, small_batches, store, table
+from .shared import columns, components, drop, keep, passing, small_batches, store, table
 
 TREES, TOKENS, ALIKE = 12, 64, 39
 LIMIT, BRANCH, DEEPEST = 4096, 3, 16
@@ -80,8 +80,6 @@ def _signer():
 
 def _classes(k: int):
     def run(batches):
-        import hashlib
-
         import numpy as np
 
         np.seterr(over="ignore")
@@ -94,7 +92,7 @@ def _classes(k: int):
                     n.append(len(s))
                     if len(s):
                         a, b = sign(s)
-                        cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                        cls.append(_name(s))
                         keys.append(a.tolist())
                         sig.append(b)
                     else:
@@ -104,18 +102,43 @@ def _classes(k: int):
     return run
 
 
+def _name(s) -> bytes:
+    """A class's name: a hash of its set."""
+    import hashlib
+
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _sets(k: int):
     def run(batches):
         import numpy as np
 
         np.seterr(over="ignore")
         for whole in batches:
-            for batch in slices(whole, 1):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, k).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["cls", "words"])
+            for batch in slices(whole, 0):
+                sets = [shingles(t, k) for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "words"])
 
     return run
 
 
+def _sets_of(wanted: DataFrame, each: DataFrame, keyed: DataFrame, k: int) -> DataFrame:
+    """cls, words of the classes in wanted (cls), from the text of each one's representative.
+
+    Texts that can't be one are left out before they move: representatives mark bits in a table of 2 ** 20 rows at most,
+    16 MB whatever the corpus, which is broadcast. Texts that pass by chance go when classes are matched.
+    """
+    place, bit = (F.col("h").bitwiseAND((1 << 20) - 1)).alias("place"), F.shiftright("h", 20).bitwiseAND(63).cast("int")
+    reps = wanted.join(each.select("cls", "rep"), "cls").select(F.xxhash64("rep.doc_id", "rep.tkey").alias("h"))
+    marks = store(reps.select(place, F.expr("shiftleft(1L, CAST(shiftright(h, 20) & 63 AS INT))").alias("bits")).groupBy("place").agg(F.bit_or("bits").alias("bits")), "marks")
+    texts = keyed.withColumn("h", F.xxhash64("doc_id", "tkey")).select("text", place, bit.alias("bit")).join(F.broadcast(marks), "place")
+    texts = texts.where(F.expr("(shiftright(bits, bit) & 1) = 1")).select(F.col("text").cast("binary").alias("text"))
+    found = texts.mapInArrow(_sets(k), "cls binary, words binary").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    out = store(found, "sets")
+    drop(marks)
+    return out
+
+
 def _groups(batches):
     """(classes, signatures, component numbers, rows) of each node of two or more, from rows sorted by key: key, cls, sig, comp, ..."""
     import numpy as np
@@ -175,13 +198,28 @@ def _forest(batches):
 
 
 def _unsettled(batches):
-    """Rows whose class has a similar one of another component in its node."""
+    """Rows whose class has a similar one of another component in its node, parted by what similar pairs connect.
+
+    A part's key is a hash of its classes, so that a family that meets in several trees is compared once.
+    """
+    import hashlib
+
     import numpy as np
 
     for cls, sig, comp, rows in _groups(batches):
-        open_ = np.array([((_equal(sig, u) >= ALIKE) & (comp != comp[u])).any() for u in range(len(cls))])
+        part, open_ = np.arange(len(cls)), np.zeros(len(cls), bool)
+        for u in range(len(cls)):
+            near = (_equal(sig, u) >= ALIKE) & (comp != comp[u])
+            if near.any():
+                near[u] = open_[u] = True
+                met = np.unique(part[near])
+                if len(met) > 1:
+                    part[np.isin(part, met)] = met[0]
         if open_.any():
-            yield from rows.filter(pa.array(open_)).to_batches()
+            at = np.flatnonzero(open_)
+            names = {x: int.from_bytes(hashlib.blake2b(b"".join(cls[i] for i in at[part[at] == x].tolist()), digest_size=8).digest(), "little", signed=True) for x in np.unique(part[at]).tolist()}
+            found = rows.take(pa.array(at))
+            yield from found.set_column(0, "key", pa.array([names[x] for x in part[at].tolist()], pa.int64())).to_batches()
 
 
 def _links(percent: int):
@@ -226,10 +264,11 @@ def _in_nodes(rows: DataFrame) -> DataFrame:
 def _settled(rows: DataFrame, each: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links that the forests missed. Only classes that still may have one bring their sets to the node; one with
     more than SHINGLES is dealt in blocks, and every two of them meet."""
-    left = store(_in_nodes(rows.select("key", "cls", "sig", "comp")).mapInArrow(_unsettled, "key long, cls binary, sig binary, comp binary"), "unsettled")
+    left = store(_in_nodes(rows.select("key", "cls", "sig", "comp")).mapInArrow(_unsettled, "key long, cls binary, sig binary, comp binary").dropDuplicates(["key", "cls"]), "unsettled")
     blocks = left.join(each.select("cls", "size"), "cls").groupBy("key").agg(F.ceil(F.sum("size") / SHINGLES).cast("int").alias("blocks"))
     cut = left.join(blocks, "key").withColumn("block", F.expr("CAST(pmod(xxhash64(cls, 7), blocks) AS INT)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumn("key", F.xxhash64("key", F.lit("whole"), F.least("block", "other"), F.greatest("block", "other")))
+    drop(rows)
     whole = cut.join(sets, "cls").select("key", "cls", "sig", "comp", "words")
     return store(_in_nodes(whole).mapInArrow(_links(percent), "a binary, b binary").distinct(), "more")
 
@@ -321,28 +360,37 @@ def _all_blocks(rows: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, tkey, n_shingles, comp of each row of docs (doc_id, text); comp is null where the set is empty."""
     small_batches(docs.sparkSession)
+    with passing():
+        return keep(store(_classified(docs, k, percent), "placed"))
+
+
+def _classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
     prepared = store(keyed.select("doc_id", "tkey", F.col("text").cast("binary").alias("text")).mapInArrow(_classes(k), "doc_id long, tkey long, n_shingles long, cls binary, keys array<long>, sig binary"), "prepared")
     each = store(prepared.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tkey")).alias("rep"), F.max("keys").alias("keys"), F.max("sig").alias("sig"), F.max("n_shingles").alias("size")), "classes")
-    rows = _alive(each.select("cls", "sig", F.explode("keys").alias("key"), F.col("cls").alias("comp")), "alive")
-    smalls, tested, sets, labels = [], [], None, None
+    # keys alone find the nodes of two or more; only their rows get signatures
+    pairs = each.select("cls", F.explode("keys").alias("key"))
+    nodes = store(pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
+    rows = store(pairs.join(nodes, "key").join(each.select("cls", "sig"), "cls").select("key", "cls", "sig", F.col("cls").alias("comp"), "n"), "alive")
+    drop(nodes)
+    smalls, tested, sets, labels, levels = [], [], None, None, [rows]
     depth = 0
     while True:
         small, big = rows.where(F.col("n") <= LIMIT), rows.where(F.col("n") > LIMIT)
         smalls.append(small)
         found = store(_in_nodes(small.select("key", "cls", "sig", "comp")).mapInArrow(_forest, "a binary, b binary").distinct(), "forest")
         any_big = not big.isEmpty()
-        if sets is None:
-            met = found.select(F.col("a").alias("cls")).union(found.select(F.col("b").alias("cls"))).union(big.select("cls")).distinct()
-            reps = met.join(each.select("cls", "rep"), "cls").select("cls", F.col("rep.doc_id").alias("d"), F.col("rep.tkey").alias("k"))
-            texts = keyed.join(reps, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("k"))).select("cls", F.col("text").cast("binary").alias("text"))
-            sets = store(texts.mapInArrow(_sets(k), "cls binary, words binary").dropDuplicates(["cls"]), "sets")
         if any_big:
             hubs = store(big.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "cls").alias("o"), "cls", "sig")).alias("hub")).select("key", F.col("hub.cls").alias("h"), F.col("hub.sig").alias("hsig")), "hubs")
             near = big.join(hubs, "key").where("cls <> h").select("sig", "hsig", F.least("cls", "h").alias("a"), F.greatest("cls", "h").alias("b"))
             found = store(found.union(near.mapInArrow(_alike, "a binary, b binary")).distinct(), "candidates")
         for done in tested:
             found = found.join(done, ["a", "b"], "left_anti")
+        met = found.select(F.col("a").alias("cls")).union(found.select(F.col("b").alias("cls"))).distinct()
+        if sets is None:
+            sets = _sets_of(met, each, keyed, k)
+        elif not (more := store(met.join(sets, "cls", "left_anti"), "met")).isEmpty():
+            sets = sets.union(_sets_of(more, each, keyed, k))
         tested.append(_confirmed(found, sets, percent))
         labels = _joined(labels, tested[-1])
         if not any_big:
@@ -359,16 +407,19 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
         else:
             child = _all_blocks(thick)
         rows = store(child.select("key", "cls", "sig", "comp", "n").union(_blocks(impure.where("few"))), "next")
+        levels.append(rows)
         if rows.isEmpty():
             break
     last = None
     for small in smalls:
         rows = _labelled(small.select("key", "cls", "sig"), labels)
         last = rows.select("key", "cls", "sig", "comp") if last is None else last.union(rows.select("key", "cls", "sig", "comp"))
-    more = _settled(_alive(last, "last"), each, sets, percent)
+    last = _alive(last, "last")
+    drop(*levels)
+    more = _settled(last, each, sets, percent)
     labels = _joined(labels, more.withColumn("linked", F.lit(True)))
     placed = prepared.where("cls IS NOT NULL").select("doc_id", "tkey", "n_shingles", "cls").join(labels.withColumnRenamed("v", "cls"), "cls", "left").select("doc_id", "tkey", "n_shingles", F.coalesce("c", "cls").alias("comp"))
-    return store(placed.union(prepared.where("cls IS NULL").select("doc_id", "tkey", "n_shingles", F.lit(None).cast("binary"))), "placed")
+    return placed.union(prepared.where("cls IS NULL").select("doc_id", "tkey", "n_shingles", F.lit(None).cast("binary")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:

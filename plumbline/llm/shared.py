@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -44,6 +45,27 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def passing():
+    """Working tables stored inside go at the end, but for those given to keep()."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        drop(*_scopes.pop())
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """A stored table that outlives the innermost passing()."""
+    _scopes[-1][:] = [x for x in _scopes[-1] if x is not df]
+    if len(_scopes) > 1:
+        _scopes[-2].append(df)
+    return df
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write a working table and read it again: later steps start from files that outlive any executor."""
     spark = df.sparkSession
@@ -51,6 +73,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._plumbline_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
