@@ -15,6 +15,8 @@ with several labels count as toxic if one says so; null labels are left out.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 import unicodedata
 
@@ -27,8 +29,6 @@ from .shared import columns, small_batches, store, table
 
 #: Labelled documents of each kind that the lexicon is learned from, at most: those first by a hash of their id.
 LEARNED = 10_000
-#: Entries and exception phrases, at most: the most frequent.
-ENTRIES = 2_000
 #: An entry stands in so many toxic documents, and in that share of them, and its odds are raised so many times.
 SUPPORT, SHARE, RAISED = 3, 0.01, 20.0
 BEGINNINGS = (4, 5, 6, 7)
@@ -83,8 +83,11 @@ class Matcher:
         if not len(self.automaton):
             return []
         found = [(end + 1 - n, end + 1, weight, entry) for end, (n, weight, entry) in self.automaton.iter(folded)]
-        out = [f for f in found if not f[3]]
-        return [f for f in found if f[3] and not any(a <= f[0] and f[1] <= b for a, b, _, _ in out)]
+        out = sorted((a, b) for a, b, _, entry in found if not entry)
+        if not out:
+            return found
+        starts, furthest = [a for a, _ in out], list(itertools.accumulate((b for _, b in out), max))  # the furthest end of those that start so far
+        return [f for f in found if f[3] and not ((k := bisect.bisect_right(starts, f[0])) and furthest[k - 1] >= f[1])]
 
     def inputs(self, folded: str) -> tuple[float, float]:
         """Weight by length, and hits up to three."""
@@ -160,14 +163,14 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[dict[
     one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     of = [one.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEARNED) for k in (0, 1)]
     chosen = store(of[0].union(of[1]), "labelled")  # 20,000 rows at most, so it is broadcast
-    rows = store(docs.join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), text).mapInArrow(_folded, "toxic int, near long, folded string").dropDuplicates(["toxic", "near"]), "folded")
+    rows = store(docs.join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), text).mapInArrow(_folded, "toxic int, near long, folded string").groupBy("toxic", "near").agg(F.min("folded").alias("folded")), "folded")
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return {}, [], []
     odds = F.log((F.col("t") + 0.5) / (n[1] + 1.0)) - F.log((F.col("c") + 0.5) / (n[0] + 1.0))
     kind = "f string, t long, c long"
     counts = rows.select("toxic", "folded").mapInArrow(_counted(features), kind).groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    found = counts.where(F.col("t") >= max(SUPPORT, SHARE * n[1])).withColumn("w", odds).where(F.col("w") >= math.log(RAISED)).orderBy(F.desc("t"), "f").limit(ENTRIES).collect()
+    found = counts.where(F.col("t") >= max(SUPPORT, SHARE * n[1])).withColumn("w", odds).where(F.col("w") >= math.log(RAISED)).collect()  # of a bounded sample, each in SHARE of its toxic documents
     lexicon = entries({r.f: (r.t, r.w) for r in found})
     plain = Matcher(lexicon)
 
@@ -183,7 +186,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[dict[
         return out
 
     counts = rows.select("toxic", "folded").mapInArrow(_counted(phrases), kind).groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    exceptions = [r.f for r in counts.where((F.col("c") >= SUPPORT) & (odds <= 0)).orderBy(F.desc("c"), "f").limit(ENTRIES).collect()]
+    exceptions = [r.f for r in counts.where((F.col("c") >= SUPPORT) & (odds <= 0)).collect()]  # words around entries, of the same sample
     matcher = Matcher(lexicon, exceptions)
 
     def measured(batches):
