@@ -38,8 +38,9 @@ def _prepared(batches):
         label, vec, key = batch.column(1).to_pylist(), [], []
         for l, v in zip(label, batch.column(2).to_pylist(), strict=True):
             x = None if l is None or not v or any(c is None for c in v) else np.array(v, np.float64)
-            with np.errstate(over="ignore"):
-                ok = x is not None and np.isfinite(x).all() and 0 < float(x @ x) < np.inf
+            ok = x is not None and bool(np.isfinite(x).all()) and bool(x.any())
+            if ok:  # the largest component between 0.5 and 1, so that no square is lost; a power of two changes no digit of the others
+                x = np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
             vec.append(x.tobytes() if ok else None)
             key.append(hashlib.blake2b(f"{l}|".encode() + (x + 0.0).tobytes(), digest_size=16).digest() if ok else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"{l}|{len(v) if v else 0}" for l, v in zip(label, vec, strict=True)]), pa.array(key, pa.binary()), pa.array(vec, pa.binary())], names=["vec_id", "label", "key", "vec"])
@@ -139,8 +140,9 @@ def _audit(sample, threshold: float):
                 places.setdefault(l, []).append(i)
             for l, at in places.items():
                 mine = of.get(l, [])
-                if mine:
-                    hit = _units([m[1] for m in mine]) @ _units([vecs[i] for i in at]).T >= threshold
+                if mine:  # block by block: a label may hold the whole batch and the whole sample
+                    u = _units([m[1] for m in mine])
+                    hit = np.concatenate([u @ _units([vecs[i] for i in at[j : j + 1024]]).T >= threshold for j in range(0, len(at), 1024)], axis=1)
                     for x in np.flatnonzero(hit.any(axis=1)).tolist():
                         found = [at[y] for y in np.flatnonzero(hit[x]).tolist() if keys[at[y]] != mine[x][0]]
                         other = {comps[i]: keys[i] for i in found if comps[i] != mine[x][2]}
