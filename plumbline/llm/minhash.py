@@ -10,7 +10,7 @@ sets of similar pairs that links have not connected yet. So a node hands on fewe
 no node is gathered in a task unless it is small.
 
 A pair of similarity s meets in the first token of a tree with probability s; twelve trees miss a pair at 0.8 with
-probability 0.2 ** 12. Signatures of 64 tokens show fewer than `ALIKE` equal ones for such a pair once in ten thousand.
+probability 0.2 ** 12. Pairs are set aside by signatures of 64 tokens with a chance of `LOST`.
 
 Defined results: null and empty texts, and texts of white space, have the empty set and link with nothing; texts
 of fewer words than a shingle have the whole sequence as their one shingle; ties and repeated rows share a class;
@@ -30,7 +30,9 @@ from pyspark.sql import types as T
 from .bpe import slices
 from .shared import columns, components, drop, keep, passing, small_batches, store, table
 
-TREES, TOKENS, ALIKE = 12, 64, 39
+TREES, TOKENS = 12, 64
+#: The chance that two sets at the threshold show fewer equal tokens than asked for.
+LOST = 1e-5
 LIMIT, BRANCH, DEEPEST = 4096, 3, 16
 #: Shingles of a block when full sets are compared in a node.
 SHINGLES = 2_000_000
@@ -165,6 +167,14 @@ def _and_end(batches):
     yield None
 
 
+def alike(percent: int) -> int:
+    """Equal tokens of TOKENS asked for before full sets are compared: what sets as similar as percent miss with chance LOST."""
+    s, below, at = percent / 100, 0.0, 0
+    while at < TOKENS and (below := below + math.comb(TOKENS, at) * s**at * (1 - s) ** (TOKENS - at)) < LOST:
+        at += 1
+    return at
+
+
 def _equal(sig, u: int):
     """How many tokens of each class equal those of class u."""
     return (sig == sig[:, u : u + 1]).sum(axis=0, dtype="uint8").astype("int16")
@@ -174,52 +184,60 @@ def _written(pairs):
     return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.binary()), pa.array([max(p) for p in pairs], pa.binary())], names=["a", "b"])
 
 
-def _forest(batches):
+def _forest(least: int):
     """A largest spanning forest of each node's similar pairs of different components, grown class by class."""
-    import numpy as np
 
-    pairs = []
-    for cls, sig, comp, _ in _groups(batches):
-        best, parent, done = np.zeros(len(cls), np.int16), np.zeros(len(cls), np.int64), np.zeros(len(cls), bool)
-        for _ in cls:
-            u = int(best.argmax())
-            if ALIKE <= best[u] <= TOKENS:
-                pairs.append((cls[parent[u]], cls[u]))
-            done[u] = True
-            equal = _equal(sig, u)
-            equal[comp == comp[u]] = TOKENS + 1
-            nearer = ~done & (equal > best)
-            best[nearer], parent[nearer] = equal[nearer], u
-            best[u] = -1
-        if len(pairs) > 20_000:
-            yield _written(pairs)
-            pairs = []
-    yield _written(pairs)
-
-
-def _unsettled(batches):
+    def run(batches):
+        import numpy as np
+
+        pairs = []
+        for cls, sig, comp, _ in _groups(batches):
+            best, parent, done = np.zeros(len(cls), np.int16), np.zeros(len(cls), np.int64), np.zeros(len(cls), bool)
+            for _ in cls:
+                u = int(best.argmax())
+                if least <= best[u] <= TOKENS:
+                    pairs.append((cls[parent[u]], cls[u]))
+                done[u] = True
+                equal = _equal(sig, u)
+                equal[comp == comp[u]] = TOKENS + 1
+                nearer = ~done & (equal > best)
+                best[nearer], parent[nearer] = equal[nearer], u
+                best[u] = -1
+            if len(pairs) > 20_000:
+                yield _written(pairs)
+                pairs = []
+        yield _written(pairs)
+
+    return run
+
+
+def _unsettled(least: int):
     """Rows whose class has a similar one of another component in its node, parted by what similar pairs connect.
 
     A part's key is a hash of its classes, so that a family that meets in several trees is compared once.
     """
-    import hashlib
 
-    import numpy as np
+    def run(batches):
+        import hashlib
+
+        import numpy as np
+
+        for cls, sig, comp, rows in _groups(batches):
+            part, open_ = np.arange(len(cls)), np.zeros(len(cls), bool)
+            for u in range(len(cls)):
+                near = (_equal(sig, u) >= least) & (comp != comp[u])
+                if near.any():
+                    near[u] = open_[u] = True
+                    met = np.unique(part[near])
+                    if len(met) > 1:
+                        part[np.isin(part, met)] = met[0]
+            if open_.any():
+                at = np.flatnonzero(open_)
+                names = {x: int.from_bytes(hashlib.blake2b(b"".join(cls[i] for i in at[part[at] == x].tolist()), digest_size=8).digest(), "little", signed=True) for x in np.unique(part[at]).tolist()}
+                found = rows.take(pa.array(at))
+                yield from found.set_column(0, "key", pa.array([names[x] for x in part[at].tolist()], pa.int64())).to_batches()
 
-    for cls, sig, comp, rows in _groups(batches):
-        part, open_ = np.arange(len(cls)), np.zeros(len(cls), bool)
-        for u in range(len(cls)):
-            near = (_equal(sig, u) >= ALIKE) & (comp != comp[u])
-            if near.any():
-                near[u] = open_[u] = True
-                met = np.unique(part[near])
-                if len(met) > 1:
-                    part[np.isin(part, met)] = met[0]
-        if open_.any():
-            at = np.flatnonzero(open_)
-            names = {x: int.from_bytes(hashlib.blake2b(b"".join(cls[i] for i in at[part[at] == x].tolist()), digest_size=8).digest(), "little", signed=True) for x in np.unique(part[at]).tolist()}
-            found = rows.take(pa.array(at))
-            yield from found.set_column(0, "key", pa.array([names[x] for x in part[at].tolist()], pa.int64())).to_batches()
+    return run
 
 
 def _links(percent: int):
@@ -228,7 +246,7 @@ def _links(percent: int):
     def run(batches):
         import numpy as np
 
-        pairs = []
+        pairs, least = [], alike(percent)
         for cls, sig, comp, rows in _groups(batches):
             words = [np.frombuffer(w, np.uint64) for w in rows.column(4).to_pylist()]
             size = np.array([len(w) for w in words])
@@ -237,7 +255,7 @@ def _links(percent: int):
             sets = np.split(number, ends[:-1])
             mine = np.zeros(int(number.max()) + 1, bool)
             for u in range(len(cls) - 1):
-                near = (_equal(sig, u) >= ALIKE) & (comp != comp[u]) & (100 * np.minimum(size, size[u]) >= percent * np.maximum(size, size[u]))
+                near = (_equal(sig, u) >= least) & (comp != comp[u]) & (100 * np.minimum(size, size[u]) >= percent * np.maximum(size, size[u]))
                 near[: u + 1] = False
                 mine[sets[u]] = True
                 for v in np.flatnonzero(near).tolist():
@@ -264,7 +282,7 @@ def _in_nodes(rows: DataFrame) -> DataFrame:
 def _settled(rows: DataFrame, each: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links that the forests missed. Only classes that still may have one bring their sets to the node; one with
     more than SHINGLES is dealt in blocks, and every two of them meet."""
-    left = store(_in_nodes(rows.select("key", "cls", "sig", "comp")).mapInArrow(_unsettled, "key long, cls binary, sig binary, comp binary").dropDuplicates(["key", "cls"]), "unsettled")
+    left = store(_in_nodes(rows.select("key", "cls", "sig", "comp")).mapInArrow(_unsettled(alike(percent)), "key long, cls binary, sig binary, comp binary").dropDuplicates(["key", "cls"]), "unsettled")
     blocks = left.join(each.select("cls", "size"), "cls").groupBy("key").agg(F.ceil(F.sum("size") / SHINGLES).cast("int").alias("blocks"))
     cut = left.join(blocks, "key").withColumn("block", F.expr("CAST(pmod(xxhash64(cls, 7), blocks) AS INT)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumn("key", F.xxhash64("key", F.lit("whole"), F.least("block", "other"), F.greatest("block", "other")))
@@ -273,14 +291,17 @@ def _settled(rows: DataFrame, each: DataFrame, sets: DataFrame, percent: int) ->
     return store(_in_nodes(whole).mapInArrow(_links(percent), "a binary, b binary").distinct(), "more")
 
 
-def _alike(batches):
-    import numpy as np
+def _similar(least: int):
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            left = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, TOKENS)
+            right = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, TOKENS)
+            keep = pa.array((left == right).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(2).filter(keep), batch.column(3).filter(keep)], names=["a", "b"])
 
-    for batch in batches:
-        left = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, TOKENS)
-        right = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, TOKENS)
-        keep = pa.array((left == right).sum(axis=1) >= ALIKE)
-        yield pa.RecordBatch.from_arrays([batch.column(2).filter(keep), batch.column(3).filter(keep)], names=["a", "b"])
+    return run
 
 
 def _confirm(percent: int):
@@ -378,12 +399,12 @@ def _classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
     while True:
         small, big = rows.where(F.col("n") <= LIMIT), rows.where(F.col("n") > LIMIT)
         smalls.append(small)
-        found = store(_in_nodes(small.select("key", "cls", "sig", "comp")).mapInArrow(_forest, "a binary, b binary").distinct(), "forest")
+        found = store(_in_nodes(small.select("key", "cls", "sig", "comp")).mapInArrow(_forest(alike(percent)), "a binary, b binary").distinct(), "forest")
         any_big = not big.isEmpty()
         if any_big:
             hubs = store(big.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "cls").alias("o"), "cls", "sig")).alias("hub")).select("key", F.col("hub.cls").alias("h"), F.col("hub.sig").alias("hsig")), "hubs")
             near = big.join(hubs, "key").where("cls <> h").select("sig", "hsig", F.least("cls", "h").alias("a"), F.greatest("cls", "h").alias("b"))
-            found = store(found.union(near.mapInArrow(_alike, "a binary, b binary")).distinct(), "candidates")
+            found = store(found.union(near.mapInArrow(_similar(alike(percent)), "a binary, b binary")).distinct(), "candidates")
         for done in tested:
             found = found.join(done, ["a", "b"], "left_anti")
         met = found.select(F.col("a").alias("cls")).union(found.select(F.col("b").alias("cls"))).distinct()
