@@ -1 +1,9 @@
 """A Spark engine that audits whether a model's reported performance can be believed."""
+
+from .functions.report import audit, render
+from .operators.audit import summary
+from .operators.codeaudit import audit_code, audit_path, audit_scripts, summarize
+from .operators.select import cross_validate, nested_grid, nested_kinds, out_of_fold, with_folds
+from .sources.ingest import read_csv, read_scripts, samples
+
+__all__ = ["audit", "render", "summary", "audit_code", "audit_path", "audit_scripts", "summarize", "cross_validate", "nested_grid", "nested_kinds", "out_of_fold", "with_folds", "read_csv", "read_scripts", "samples"]

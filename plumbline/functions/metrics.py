@@ -54,10 +54,23 @@ def auc_ovr(df: DataFrame, y: str = "y", proba: str = "proba") -> DataFrame:
 
 
 def reliability(df: DataFrame, y: str = "y", p: str = "p", bins: int = 10) -> DataFrame:
-    """Mean prediction, mean outcome and rows of each bin that has any; bins are closed on the left, 1 is in the last."""
-    b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int")
+    """Mean prediction, mean outcome and rows of each bin that has any; bins are closed on the left, 1 is in the last.
+
+    Inner edges are multiples of a bin's width in doubles, so 0.3 lies below the edge 3 * 0.1."""
+    b = sum((F.col(p) >= F.lit(i * (1 / bins))).cast("int") for i in range(1, bins))
     return df.groupBy(b.alias("bin")).agg(F.avg(p).alias("mean_p"), F.avg(y).alias("mean_y"), F.count("*").alias("n"))
 
 
+def bundle(df: DataFrame, task: str, y: str = "y", pred: str = "pred") -> DataFrame:
+    """A task's metrics in one row, with headline and headline_name: R2, AUC, or the mean of one-versus-rest AUCs."""
+    if task == "regression":
+        return regression(df, y, pred).withColumn("headline", F.col("r2")).withColumn("headline_name", F.lit("R2"))
+    if task == "binary":
+        one = auc(df, y, pred).join(F.broadcast(binary(df, y, pred)), F.lit(True))  # a row each
+        return one.withColumn("headline", F.col("auc")).withColumn("headline_name", F.lit("AUC"))
+    one = auc_ovr(df, y, pred).withColumnRenamed("auc_ovr", "auc_ovr_macro").join(F.broadcast(multiclass(df, y, pred)), F.lit(True))  # a row each
+    return one.withColumn("headline", F.col("auc_ovr_macro")).withColumn("headline_name", F.lit("AUC (macro-OVR)"))
+
+
 def ladder(scores: DataFrame, *by: str) -> DataFrame:
     return scores.groupBy(*by).agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))

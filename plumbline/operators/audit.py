@@ -41,16 +41,21 @@ def crosstab(df: DataFrame, batch: str, y: str) -> DataFrame:
 
 
 def association(df: DataFrame, batch: str, y: str) -> DataFrame:
-    """One row: n, dof, chi2 with Yates's correction at one degree of freedom, Cramér's V (null for one level)."""
-    from pyspark.sql import Window
+    """One row: n, dof, chi2 with Yates's correction at one degree of freedom, Cramér's V (null for one level).
 
-    cells = crosstab(df, batch, y).withColumn("n", F.col("n").cast("double"))
-    e = F.sum("n").over(Window.partitionBy("batch")) * F.sum("n").over(Window.partitionBy("y"))
-    cells = cells.withColumn("m", e)
-    sums = cells.groupBy().agg(F.sum("n").alias("total"), F.count_distinct("batch").alias("r"), F.count_distinct("y").alias("c"), F.collect_list(F.struct("n", "m")).alias("cells"))
+    Cells that never occur need no row: without the correction chi2 is n (sum of O^2 / (row * column) - 1), and in a
+    2 x 2 table all four cells are equally far from what is expected, so it follows from one cell and the margins.
+    """
+    both = df.where(F.col(batch).isNotNull() & F.col(y).isNotNull())
+    cells = both.groupBy(F.col(batch).cast("string").alias("batch"), F.col(y).cast("string").alias("y")).agg(F.count("*").cast("double").alias("o"))
+    rows, cols = cells.groupBy("batch").agg(F.sum("o").alias("row")), cells.groupBy("y").agg(F.sum("o").alias("col"))
+    whole = cells.agg(F.sum("o").alias("n")).join(rows.agg(F.count("*").alias("r"), F.sum(1 / F.col("row")).alias("rs")), F.lit(True)).join(cols.agg(F.count("*").alias("c"), F.sum(1 / F.col("col")).alias("cs")), F.lit(True))  # a row each
+    met = cells.join(rows, "batch").join(cols, "y").join(F.broadcast(whole.select("n")), F.lit(True))
+    sums = met.agg(F.sum(F.col("o") * F.col("o") / (F.col("row") * F.col("col"))).alias("s"), F.max(F.abs(F.col("o") - F.col("row") * F.col("col") / F.col("n"))).alias("far"))
     dof = (F.col("r") - 1) * (F.col("c") - 1)
-    term = F.expr("aggregate(cells, 0D, (s, x) -> s + pow(abs(x.n - x.m / total) - IF((r - 1) * (c - 1) = 1, least(0.5D, abs(x.n - x.m / total)), 0D), 2) / (x.m / total))")
-    out = sums.select(F.col("total").cast("long").alias("n"), dof.alias("dof"), term.alias("chi2"), F.least("r", "c").alias("k"))
+    yates = F.pow(F.col("far") - F.least(F.col("far"), F.lit(0.5)), 2) * F.col("n") * F.col("rs") * F.col("cs")
+    chi2 = F.when(dof == 1, yates).when(dof == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("n") * (F.col("s") - 1)))
+    out = whole.join(sums, F.lit(True)).select(F.col("n").cast("long").alias("n"), dof.alias("dof"), chi2.alias("chi2"), F.least("r", "c").alias("k"))
     return out.withColumn("v", F.when(F.col("k") > 1, F.sqrt(F.col("chi2") / (F.col("n") * (F.col("k") - 1))))).drop("k")
 
 

@@ -84,3 +84,29 @@ def split(df: DataFrame, row_id: str, y: str, task: str, group: str | None = Non
     if group:
         return grouped(df, group, k)
     return plain(df, row_id, k) if task == "regression" else stratified(df, row_id, y, k)
+
+
+#: Rows that seeded() takes at most: it permutes them on the driver.
+SEEDED = 1_000_000
+
+
+def seeded(df: DataFrame, row_id: str, y: str, k: int = 5, seed: int = 0, name: str = "fold") -> DataFrame:
+    """df with folds as a seeded generator shuffles them, to repeat published figures of small tables.
+
+    Each class gets as many rows of a fold as every k-th row of the sorted outcomes gives it; classes are shuffled in
+    the order in which they first occur, rows taken by row id.
+    """
+    import numpy as np
+
+    rows = df.select(row_id, y).orderBy(row_id).limit(SEEDED + 1).collect()
+    if len(rows) > SEEDED:
+        raise ValueError(f"seeded folds are for up to {SEEDED} rows; use stratified")
+    places: dict = {}
+    code = np.array([places.setdefault(r[1], len(places)) for r in rows])
+    dealt, fold, rng = np.sort(code), np.empty(len(code), int), np.random.RandomState(seed)
+    for c in range(len(places)):
+        shares = np.repeat(np.arange(k), [int((dealt[i::k] == c).sum()) for i in range(k)])
+        rng.shuffle(shares)
+        fold[code == c] = shares
+    given = df.sparkSession.createDataFrame([(r[0], int(f)) for r, f in zip(rows, fold, strict=True)], f"_id {df.schema[row_id].dataType.simpleString()}, {name} int")
+    return df.join(given, df[row_id] == given["_id"]).drop("_id")

@@ -125,15 +125,12 @@ def audit_findings(spark, d):
     return audit.audit(rows, "y", selection_global=True, preprocessing_global=False).drop("detail")
 
 
-@query("SELECT 2::BIGINT AS n_critical, 2::BIGINT AS n_warning")
+@query("""WITH e AS (SELECT label, list_transform(embedding, lambda x: round_even(x::DOUBLE, 6)) AS v FROM embeddings),
+d AS (SELECT count(*) - count(DISTINCT v) AS twice, count(*) AS n, max(len(v)) AS p FROM e),
+c AS (SELECT label, count(*) AS k FROM e WHERE label IS NOT NULL GROUP BY label), b AS (SELECT min(k) / sum(k) AS share FROM c)
+SELECT ((twice > 0)::INT + 1)::BIGINT AS n_critical, ((p >= n)::INT + (share < 0.15)::INT + 1)::BIGINT AS n_warning FROM d, b""")
 def audit_summary(spark, d):
-    found = [(1, "dimensionality", "warning", "", {}), (2, "duplicate_rows", "critical", "", {}), (3, "subject_leakage", "warning", "", {}), (4, "leaky_preprocessing", "critical", "", {})]
-    return audit.summary(spark.createDataFrame(found, audit.FINDING))
-
-
-@query()
-def audit_summary_embeddings(spark, d):
-    """audit_summary counts findings written out; this one counts those of a whole table."""
+    """Findings of a whole table, counted: shape, balance, repeats, no subject column, selection on all samples."""
     rows = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("y"), F.col("embedding").alias("features"))
     return audit.summary(audit.audit(rows, "y", selection_global=True, preprocessing_global=False))
 
@@ -301,7 +298,7 @@ def brier_log_loss(spark, d):
     return rounded(metrics.binary(scored(spark, d)))
 
 
-@query(SCORED + " SELECT least(floor(p * 10), 9)::INT AS bin, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS mean_y, count(*) AS n FROM s GROUP BY 1")
+@query(SCORED + " SELECT list_sum(list_transform(range(1, 10), lambda i: (p >= i * 0.1::DOUBLE)::INT))::INT AS bin, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS mean_y, count(*) AS n FROM s GROUP BY 1")
 def reliability_curve(spark, d):
     return rounded(metrics.reliability(scored(spark, d)))
 
@@ -435,17 +432,52 @@ SCRIPTS = {
     "leaky": "import pandas as pd\ndf = pd.read_csv('x.csv')\nsubject_id = df['subject_id']\nX, y = df.drop(columns='y'), df['y']\nX = StandardScaler().fit_transform(X)\nsel = SelectKBest(k=20)\nX = sel.fit_transform(X, y)\ncv = StratifiedKFold(5)\nfor tr, te in cv.split(X, y):\n    pass\n",
     "clean": "import pandas as pd\ndf = pd.read_csv('x.csv')\ngroups = df['patient_id']\npipe = Pipeline([('s', StandardScaler()), ('m', LogisticRegression())])\ncv = GroupKFold(5)\nprint(cross_val_score(pipe, df.drop(columns='y'), df['y'], groups=groups, cv=cv))\n",
     "unparsable": "%matplotlib inline\nprint(1)\n",
+    "decomposed": "p = PCA(5)\nX = p.fit_transform(X)\na, b = train_test_split(X)\n",
+    "search only": "best = GridSearchCV(model, grid).fit(X, y)\n",
+    "group splitter only": "who = df['mouse']\ncv = GroupKFold(5)\nscore = cross_val_score(m, X, y, cv=cv)\n",
+    "late": "a, b = train_test_split(X)\ns = RobustScaler()\ns.fit(a)\nsm = SMOTE()\na, c = sm.fit_resample(a, c)\n",
 }
 
 
 @query("""SELECT * FROM (VALUES ('clean', 'good_practice', 'info', NULL::INT), ('clean', 'subject_leakage', 'ok', NULL), ('leaky', 'leaky_feature_selection', 'critical', 7), ('leaky', 'leaky_preprocessing', 'critical', 5),
-('leaky', 'subject_leakage', 'critical', 8), ('unparsable', 'parse_error', 'info', 1)) t(path, "check", severity, line)""")
+('leaky', 'subject_leakage', 'critical', 9), ('unparsable', 'parse_error', 'info', 1), ('decomposed', 'leaky_preprocessing', 'critical', 2), ('search only', 'no_split', 'critical', NULL),
+('late', 'leaky_preprocessing', 'ok', 3), ('late', 'leaky_resampling', 'ok', 5)) t(path, "check", severity, line)""")
 def code_audit(spark, d):
     ingest.ship(spark)
     return codeaudit.audit_scripts(spark.createDataFrame(list(SCRIPTS.items()), "path string, source string")).select("path", "check", "severity", "line")
 
 
-@query("SELECT * FROM (VALUES ('leaky', true, true), ('clean', false, false), ('unparsable', NULL, NULL)) t(path, preprocessing_global, selection_global)")
+@query("SELECT * FROM (VALUES ('leaky', true, true), ('clean', false, false), ('unparsable', NULL, NULL), ('decomposed', true, false), ('search only', false, false), ('late', false, false)) t(path, preprocessing_global, selection_global)")
 def code_flags(spark, d):
     ingest.ship(spark)
     return codeaudit.flags(codeaudit.audit_scripts(spark.createDataFrame(list(SCRIPTS.items()), "path string, source string")))
+
+
+def scripts_of_parts(spark, d) -> DataFrame:
+    """A script for each part: what its lines do follows from remainders of its key."""
+    k = "CAST(p_partkey AS BIGINT)"
+    lines = [
+        "'df = read(1)'", f"IF({k} % 2 = 0, \"subject = df['subject_id']\", \"other = df['plate']\")",
+        f"CASE {k} % 3 WHEN 0 THEN 'X = StandardScaler().fit_transform(X)' WHEN 1 THEN 'X = PCA(5).fit_transform(X)' ELSE 'X = X + 1' END",
+        f"CASE {k} % 5 WHEN 2 THEN 's = GroupKFold(5)' WHEN 3 THEN 's = KFold(5)' WHEN 4 THEN 'p = 1' ELSE 'a, b = train_test_split(X)' END",
+        f"IF({k} % 7 < 3, 'Z = SelectKBest(k=3).fit_transform(X, y)', 'Z = X')",
+    ]
+    return table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.expr(f"concat_ws('\\n', {', '.join(lines)})").alias("source"))
+
+
+@query("""WITH k AS (SELECT p_partkey AS k, p_partkey % 5 < 2 AS split FROM part),
+f AS (SELECT 'no_split' AS "check", 'critical' AS severity, NULL::INT AS line FROM k WHERE NOT split
+UNION ALL SELECT 'leaky_preprocessing', 'critical', 3 FROM k WHERE k % 3 < 2
+UNION ALL SELECT 'leaky_feature_selection', CASE WHEN split THEN 'ok' ELSE 'critical' END, 5 FROM k WHERE k % 7 < 3
+UNION ALL SELECT 'subject_leakage', 'critical', CASE WHEN split THEN 4 END FROM k WHERE k % 2 = 0 AND (split OR k % 5 = 3)
+UNION ALL SELECT 'subject_leakage', 'ok', NULL FROM k WHERE k % 2 = 1 AND k % 5 = 2)
+SELECT "check", severity, line, count(*) AS n FROM f GROUP BY ALL""")
+def code_audit_parts(spark, d):
+    return codeaudit.audit_scripts(scripts_of_parts(spark, d)).groupBy("check", "severity", "line").agg(F.count("*").alias("n"))
+
+
+@query("""WITH k AS (SELECT p_partkey AS k, p_partkey % 5 < 2 AS split FROM part),
+s AS (SELECT k, (NOT split)::INT + (k % 3 < 2)::INT + (k % 7 < 3 AND NOT split)::INT + (k % 2 = 0 AND (split OR k % 5 = 3))::INT AS n FROM k)
+SELECT n::BIGINT AS n_critical, 0::BIGINT AS n_warning, count(*) AS scripts FROM s WHERE n > 0 GROUP BY n""")
+def code_summary_parts(spark, d):
+    return codeaudit.summarize(codeaudit.audit_scripts(scripts_of_parts(spark, d))).where("n_critical > 0").groupBy("n_critical", "n_warning").agg(F.count("*").alias("scripts"))

@@ -16,7 +16,6 @@ LABEL_NAMES = ("diagnosis", "label", "outcome", "class", "target", "y")
 GROUP_NAMES = ("patient_id", "subject", "subject_id", "donor", "patient", "pid")
 BATCH_NAMES = ("plate", "batch", "site", "run", "lane")
 POSITIVE = ("disease", "case", "positive", "pos", "1", "true", "yes", "tumor", "cancer", "abnormal")
-SCRIPT_FORMAT = "code"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,3 +114,22 @@ def xor(spark: SparkSession) -> DataFrame:
 
     x = np.random.default_rng(0).normal(size=(400, 22))
     return spark.createDataFrame([(i, int((r[0] > 0) != (r[1] > 0)), r.tolist()) for i, r in enumerate(x)], "row_id long, y int, features array<double>")
+
+
+def biology(spark: SparkSession, seed: int = 7) -> DataFrame:
+    """160 samples of 800 features: 40 subjects, four replicates each, half an outcome's signal and a batch's that follows it.
+
+    25 features differ by 1.3 between outcomes, 200 by 2.5 between batches; replicates share a subject's deviations.
+    """
+    import numpy as np
+
+    rng = np.random.default_rng(seed)  # the order of draws is part of the dataset: outcomes, batches, noise, subjects
+    outcome = rng.integers(0, 2, size=40)
+    batch = rng.random(40) < np.where(outcome == 1, 0.62, 0.38)
+    subject = np.arange(160) // 4
+    x = rng.normal(size=(160, 800))
+    x[:, :25] += 1.3 * outcome[subject, None]
+    x += rng.normal(scale=0.5, size=(40, 800))[subject]
+    x[:, 50:250] += 2.5 * batch[subject, None]
+    rows = [(i, int(outcome[s]), str(s), str(int(batch[s])), x[i].tolist()) for i, s in enumerate(subject.tolist())]
+    return spark.createDataFrame(rows, "row_id long, y int, group_id string, batch_id string, features array<double>")

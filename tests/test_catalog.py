@@ -31,7 +31,7 @@ def test_equals_duckdb(spark, duck, name):
 
 def test_summary_counts_the_findings_of_a_table(spark):
     severities = [r.severity for r in catalog.QUERIES["audit_findings"](spark, SF).collect()]
-    got = catalog.QUERIES["audit_summary_embeddings"](spark, SF).first()
+    got = catalog.QUERIES["audit_summary"](spark, SF).first()
     assert (got.n_critical, got.n_warning) == (severities.count("critical"), severities.count("warning"))
 
 
