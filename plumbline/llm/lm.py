@@ -1,18 +1,24 @@
 """Masked pseudo-likelihood: a small network predicts every token from the tokens on both sides.
 
-Tokens are words, A-Z lower-cased, each with its own count in a distributed table. Words in order of frequency are
-split into classes of about equal mass, as many as the cube root of the words and 64 at least. The network sees the
-classes of two tokens to the left and two to the right, never the token's own, and predicts its class; within a
-class, a word has its share of the counts. A document's score is the sum of its tokens' log-probabilities. Documents
-are numbered chunk by chunk by the words of the chunk, and only the distinct words of a chunk are joined with the
-table. Training is numpy on every partition over all its tokens, each from the same start, in `ROUNDS` rounds; after
-a round the weights are averaged by tokens seen, as distributed sums of as many numbers as the network has.
+Tokens are words, A-Z lower-cased, each with its own count in a distributed table. The softmax over the vocabulary is
+factored: a word belongs to one class, the network gives the classes' probabilities from both sides, and within a
+class a word has its share of the counts. Frequent words are classes of their own. The others are grouped by the
+company they keep: a document's vector is the normalised sum of random vectors of its words, a word's is the mean of
+its documents', and k-means over all words parts them, weighted by their counts; a group's words in order of frequency
+are split into classes of about equal mass. There are as many classes as the cube root of the words and 64 at least, a
+sixth as many groups. The network sees the classes of two tokens to the left and two to the right, never the token's
+own. A document's score is the sum of its tokens' log-probabilities. Documents are numbered chunk by chunk by the words
+of the chunk, and only the distinct words of a chunk are joined with the table.
+
+Training is numpy. Documents are dealt by a hash to rounds and, in a round, to shards of about `SHARD` tokens; a shard
+is one descent over its documents in order, from the round's weights, which are averaged by tokens seen after it. All
+documents are learned from once. Sums are of whole numbers, so neither files nor partitions change a result.
 
 A word that the table lacks counts as one of count 0, in the last class; one is added to each count.
 
 Defined results: null and empty texts have no tokens, log_prob 0 and per_token null; whole texts are scored, of any
 length; repeated rows count as often as they stand there and get equal scores; null ids are kept; an empty table
-gives no rows; other columns are left out. Averages are sums of doubles, so the last digits can differ by run.
+gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -25,14 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .shared import columns, small_batches, store, table
+from .shared import columns, drop, keep, passing, release, small_batches, store, table
 
-LEAST, HIDDEN, ROUNDS, RATE, BATCH = 64, 16, 2, 0.5, 2048
+LEAST, HIDDEN, ROUNDS, RATE, BATCH = 64, 16, 3, 2.0, 1024
 SIDES = (-2, -1, 1, 2)
 #: The class beyond a document's ends: the last row of a side's table, however many classes there are.
 CLASSES = -1
-#: Tokens of a chunk, and words that a lookup fetches at once.
-CHUNK, FETCHED = 4_000_000, 10_000
+#: Tokens of a chunk and of a shard, and words that a lookup fetches at once.
+CHUNK, SHARD, FETCHED = 2_000_000, 4_000_000, 10_000
+#: Random vectors of words, by a hash, and their dimensions; k-means starts from so many frequent words, and its rounds.
+BUCKETS, WIDTH, FIRST, TURNS = 4096, 8, 2048, 5
+#: Averaged weights are whole multiples of 1 / UNIT.
+UNIT = 1 << 24
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -47,21 +57,39 @@ class _Places(dict):
         return n
 
 
+def _company(words, flat, sizes):
+    """For each word the sum of its documents' vectors, once for each token, in whole steps of 1 / 127."""
+    import zlib
+
+    import numpy as np
+
+    table = np.random.default_rng(1).normal(size=(WIDTH, BUCKETS))
+    bucket = np.array([zlib.crc32(w) % BUCKETS for w in words], np.int32)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    vec = np.stack([np.bincount(doc, weights=table[d][bucket][flat], minlength=len(sizes)) for d in range(WIDTH)])
+    vec = np.rint(127 * vec / np.maximum(1e-9, np.sqrt((vec * vec).sum(axis=0))))
+    return [np.bincount(flat, weights=vec[d][doc], minlength=len(words)).astype(np.int64) for d in range(WIDTH)]
+
+
 def _encoded(batches):
-    """Rows of documents, their tokens as places in their chunk's words; rows of the chunk's words, with counts."""
+    """Rows of documents, their tokens as places in their chunk's words; rows of the chunk's words, with counts and company, two sums a number."""
     import numpy as np
 
-    names = ["chunk", "doc_id", "ids", "word", "place", "n"]
+    pairs = [f"v{d}" for d in range(WIDTH // 2)]
+    names = ["chunk", "doc_id", "ids", "word", "place", "n", *pairs]
 
     def written(known, docs, ids):
-        chunk, words = uuid.uuid4().bytes, list(known)
-        counts = np.bincount(np.concatenate(ids), minlength=len(words))
+        chunk, words = uuid.uuid4().int >> 65, list(known)
+        flat, sizes = np.concatenate(ids), np.array([len(x) for x in ids])
+        counts, sums = np.bincount(flat, minlength=len(words)), _company(words, flat, sizes)
+        held = [(sums[2 * d] << 32) | (sums[2 * d + 1] & 0xFFFFFFFF) for d in range(WIDTH // 2)]
         for i in range(0, len(docs), 10_000):
             d = docs[i : i + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(d), pa.binary()), pa.array(d, pa.int64()), pa.array([x.tobytes() for x in ids[i : i + 10_000]], pa.binary()), pa.nulls(len(d), pa.binary()), pa.nulls(len(d), pa.int32()), pa.nulls(len(d), pa.int64())], names=names)
+            no = [pa.nulls(len(d), k) for k in (pa.binary(), pa.int32(), *[pa.int64()] * (1 + len(pairs)))]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(d), pa.int64()), pa.array(d, pa.int64()), pa.array([x.tobytes() for x in ids[i : i + 10_000]], pa.binary()), *no], names=names)
         for i in range(0, len(words), 50_000):
-            w = words[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(w), pa.binary()), pa.nulls(len(w), pa.int64()), pa.nulls(len(w), pa.binary()), pa.array(w, pa.binary()), pa.array(range(i, i + len(w)), pa.int32()), pa.array(counts[i : i + len(w)], pa.int64())], names=names)
+            w, part = words[i : i + 50_000], slice(i, i + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(w), pa.int64()), pa.nulls(len(w), pa.int64()), pa.nulls(len(w), pa.binary()), pa.array(w, pa.binary()), pa.array(range(i, i + len(w)), pa.int32()), pa.array(counts[part], pa.int64()), *[pa.array(h[part], pa.int64()) for h in held]], names=names)
 
     known, docs, ids, held = _Places(), [], [], 0
     for whole in batches:
@@ -81,7 +109,7 @@ def encode(docs: DataFrame, text: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
     number = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None)
     given = docs.select(number.cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return store(given.mapInArrow(_encoded, "chunk binary, doc_id long, ids binary, word binary, place int, n long"), "encoded")
+    return store(given.mapInArrow(_encoded, "chunk long, doc_id long, ids binary, word binary, place int, n long, " + ", ".join(f"v{d} long" for d in range(WIDTH // 2))), "encoded", "zstd")
 
 
 class Words:
@@ -103,26 +131,101 @@ def class_count(words: int) -> int:
     return max(LEAST, math.ceil(words ** (1 / 3)))
 
 
+def _grouper(centres):
+    """word, n, grp: each word with the nearest centre; ties go to the first."""
+
+    def run(batches):
+        import numpy as np
+
+        c = np.array(centres, float)
+        for batch in batches:
+            x = np.stack([batch.column(2 + d).to_numpy().astype(float) for d in range(WIDTH)], axis=1)
+            grp = np.concatenate([(x[i : i + 65_536] @ (-2 * c.T) + (c * c).sum(axis=1)).argmin(axis=1) for i in range(0, len(x), 65_536)]) if len(x) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grp.astype(np.int32))], names=["word", "n", "grp"])
+
+    return run
+
+
+def _summer(centres):
+    """grp, n, sums: of a batch's words, whole numbers."""
+
+    def run(batches):
+        import numpy as np
+
+        group = _grouper(centres)
+        for batch in batches:
+            for got in group([batch]):
+                grp, n = got.column(2).to_numpy(), batch.column(1).to_numpy()
+                sums = []
+                for g in np.unique(grp).tolist():
+                    at = grp == g
+                    sums.append((g, int(n[at].sum()), *[int((n[at] * batch.column(2 + d).to_numpy()[at].astype(np.int64)).sum()) for d in range(WIDTH)]))
+                yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in sums], pa.int32()), *[pa.array([s[i] for s in sums], pa.int64()) for i in range(1, WIDTH + 2)]], names=["grp", "n", *[f"s{d}" for d in range(WIDTH)]])
+
+    return run
+
+
+def _centres(counted: DataFrame, many: int):
+    """Centres of many groups of words: k-means over all of them, started from frequent ones far apart."""
+    import numpy as np
+
+    first = counted.orderBy(F.desc("n"), "word").limit(FIRST).collect()  # FIRST rows
+    x, w = np.array([[r[f"x{d}"] for d in range(WIDTH)] for r in first], float).reshape(-1, WIDTH), np.array([r.n for r in first], float)
+    centres, far = [], np.full(len(x), np.inf)
+    for _ in range(min(many, len(x))):
+        at = int((np.where(np.isinf(far), 1.0, far) * w).argmax())
+        centres.append(x[at].tolist())
+        far = np.minimum(far, ((x - x[at]) ** 2).sum(axis=1))
+    for _ in range(TURNS if centres else 0):
+        rows = counted.mapInArrow(_summer(centres), "grp int, n long, " + ", ".join(f"s{d} long" for d in range(WIDTH)))
+        for r in rows.groupBy("grp").agg(F.sum("n").alias("n"), *[F.sum(f"s{d}").alias(f"s{d}") for d in range(WIDTH)]).collect():  # a row a group
+            centres[r.grp] = [r[f"s{d}"] / r.n for d in range(WIDTH)]
+    return centres
+
+
 def classes(parts: DataFrame) -> tuple[Words, Words, int]:
     """(class of each word, log share of each word in its class, number of classes), one added to each count.
 
-    Words come in order of frequency to a sixteenth of a doubling, then of a hash.
+    A word of twice a class's mass is a class. In a group words come in order of frequency to a sixteenth of a
+    doubling, then of a hash; groups come by mass, the largest last.
     """
     spark = parts.sparkSession
-    counted = store(parts.where("word IS NOT NULL").groupBy("word").agg((F.sum("n") + 1).alias("n")).withColumn("bin", F.floor(16 * F.log2("n")).cast("int")), "counted")
-    before, bins, words = 0, [], 0
-    for r in sorted(counted.groupBy("bin").agg(F.sum("n").alias("mass"), F.count("*").alias("k")).collect(), key=lambda r: -r.bin):  # 16 rows a doubling
-        bins.append((r.bin, float(before), float(r.mass)))
-        before, words = before + r.mass, words + r.k
+    lanes = [e for d in range(WIDTH // 2) for e in (f"shiftright(v{d}, 32)", f"shiftright(shiftleft(v{d}, 32), 32)")]
+    sums = parts.where("word IS NOT NULL").select("word", "n", *[F.expr(e).alias(f"s{d}") for d, e in enumerate(lanes)]).groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"s{d}").alias(f"s{d}") for d in range(WIDTH)])
+    counted = store(sums.select("word", (F.col("n") + 1).alias("n"), *[F.round(F.col(f"s{d}") / F.col("n")).cast("short").alias(f"x{d}") for d in range(WIDTH)]), "counted", "zstd")
+    release(spark)
+    words, total = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     many = class_count(words)
-    at = F.col("before") + F.col("mass") * (F.expr("pmod(xxhash64(word), 1000003)") / 1000003)
-    cut = counted.join(F.broadcast(spark.createDataFrame(bins, "bin int, before double, mass double")), "bin").select("word", "n", F.least(F.lit(many - 1), F.floor(at / max(before, 1) * many).cast("int")).alias("cls"))
-    cut = store(cut, "classed")
-    mass = {r.cls: r.mass for r in cut.groupBy("cls").agg(F.sum("n").alias("mass")).collect()}  # a row a class
-    mass[many - 1] = mass.get(many - 1, 0) + 1
-    given = spark.createDataFrame([(c, float(m)) for c, m in mass.items()], "cls int, mass double")
-    rows = store(cut.join(F.broadcast(given), "cls").select("word", "cls", F.log(F.col("n") / F.col("mass")).alias("share")), "words")
-    return Words(rows, "cls", many - 1), Words(rows, "share", -math.log(mass[many - 1])), many
+    placed = store(counted.mapInArrow(_grouper(_centres(counted, max(1, many // 6))), "word binary, n long, grp int").withColumn("bin", F.floor(16 * F.log2("n")).cast("int")), "grouped", "zstd")
+    own = placed.where(F.col("n") > 2 * total / many).orderBy(F.desc("n"), "word").select("word", "n").collect()  # of less than half the classes
+    rest = placed.where(F.col("n") <= 2 * total / many)
+    bins = rest.groupBy("grp", "bin").agg(F.sum("n").alias("mass")).collect()  # 16 rows a doubling and group
+    mass: dict[int, int] = {}
+    for r in bins:
+        mass[r.grp] = mass.get(r.grp, 0) + r.mass
+    order = sorted(mass, key=lambda g: (mass[g], g))
+    left, base, at = many - len(own), {}, len(own)
+    shares = {g: max(1, left * mass[g] // max(1, sum(mass.values()))) for g in order}
+    if order:
+        shares[order[-1]] = left - sum(shares[g] for g in order[:-1])
+    for g in order:
+        base[g], at = at, at + shares[g]
+    rules, before = [], dict.fromkeys(order, 0)
+    for r in sorted(bins, key=lambda r: (r.grp, -r.bin)):
+        rules.append((r.grp, r.bin, float(before[r.grp]), float(r.mass), base[r.grp], shares[r.grp], float(mass[r.grp])))
+        before[r.grp] += r.mass
+    place = F.col("before") + F.col("mass") * (F.expr("pmod(xxhash64(word), 1000003)") / 1000003)
+    given = F.broadcast(spark.createDataFrame(rules, "grp int, bin int, before double, mass double, base int, shares int, whole double"))
+    cut = rest.join(given, ["grp", "bin"]).select("word", "n", (F.col("base") + F.least(F.col("shares") - 1, F.floor(place / F.col("whole") * F.col("shares")).cast("int"))).alias("cls"))
+    alone = spark.createDataFrame([(r.word, r.n, i) for i, r in enumerate(own)], "word binary, n long, cls int")
+    cut = store(cut.union(alone), "classed", "zstd")
+    drop(counted, placed)
+    of = {r.cls: r.mass for r in cut.groupBy("cls").agg(F.sum("n").alias("mass")).collect()}  # a row a class
+    of[many - 1] = of.get(many - 1, 0) + 1
+    given = spark.createDataFrame([(c, float(m)) for c, m in of.items()], "cls int, mass double")
+    rows = store(cut.join(F.broadcast(given), "cls").select("word", "cls", F.log(F.col("n") / F.col("mass")).alias("share")), "words", "zstd")
+    drop(cut)
+    return Words(rows, "cls", many - 1), Words(rows, "share", -math.log(of[many - 1])), many
 
 
 def coded(parts: DataFrame, cls: Words, share: Words) -> DataFrame:
@@ -143,7 +246,7 @@ def coded(parts: DataFrame, cls: Words, share: Words) -> DataFrame:
     docs = parts.where("ids IS NOT NULL").select("chunk", "doc_id", "ids")
     found = parts.where("word IS NOT NULL").select("chunk", "word", "place").join(cls.rows, "word", "left")
     found = found.select(F.col("chunk").alias("of"), "place", F.coalesce("cls", F.lit(cls.unseen)).alias("cls"), F.coalesce("share", F.lit(share.unseen)).alias("share"))
-    return store(docs.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(run, "doc_id long, codes binary, share double"), "coded")
+    return store(docs.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(run, "doc_id long, codes binary, share double"), "coded", "zstd")
 
 
 def _each(batches, at: int):
@@ -227,26 +330,41 @@ def _shaped(flat):
     return out
 
 
+def _dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, codes and deal of all coded documents, and how many shards a round has."""
+    total = rows.agg(F.coalesce(F.sum(F.length("codes")), F.lit(0))).first()[0] // 2
+    return rows.select("doc_id", "codes", F.xxhash64("doc_id", "codes").alias("deal")), max(1, math.ceil(total / (SHARD * ROUNDS)))
+
+
+def _learner(given):
+    """A shard's weights in steps of 1 / UNIT, and its tokens."""
+
+    def learned(table):
+        import numpy as np
+
+        table = table.sort_by([("doc_id", "ascending"), ("codes", "ascending")])
+        weights, seen = _shaped(given.value), 0
+        for _, cls, sizes in _each(table.to_batches(), 1):
+            if len(cls):
+                weights, seen = fit(weights, cls, sizes), seen + len(cls)
+        w = np.rint(_flat(weights).astype(np.float64) * UNIT).astype(np.int64)
+        return pa.table({"i": pa.array(range(len(w)), pa.int32()), "w": pa.array(w), "n": pa.array([seen] * len(w), pa.int64())})
+
+    return learned
+
+
 def _learned(rows: DataFrame, many: int, rounds: int):
-    """The weights after some rounds over all coded documents."""
+    """The weights after some rounds, each over its share of all coded documents."""
     spark, flat = rows.sparkSession, _flat(start(many))
-    for _ in range(rounds):
+    dealt, shards = _dealt(rows)
+    for k in range(rounds):
         given = spark.sparkContext.broadcast(flat)  # as large as the network
 
-        def learned(batches, given=given):
-            import numpy as np
-
-            weights, seen = _shaped(given.value), 0
-            for _, cls, sizes in _each(batches, 0):
-                if len(cls):
-                    weights, seen = fit(weights, cls, sizes), seen + len(cls)
-            if seen:
-                w = _flat(weights).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(w)), pa.int32()), pa.array(w * seen), pa.array([seen] * len(w), pa.int64())], names=["i", "w", "n"])
-
-        got = rows.select("codes").mapInArrow(learned, "i int, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()  # one row a weight
+        part = dealt.where(F.expr(f"pmod(deal, {rounds}) = {k}")).withColumn("shard", F.expr(f"pmod(deal DIV {rounds}, {shards})")).select("doc_id", "codes", "shard")
+        exact = F.sum(F.col("w").cast("decimal(38,0)") * F.col("n"))
+        got = part.groupBy("shard").applyInArrow(_learner(given), "i int, w long, n long").where("n > 0").groupBy("i").agg(exact.alias("w"), F.sum("n").alias("n")).collect()  # one row a weight
         for r in got:
-            flat[r.i] = r.w
+            flat[r.i] = float(r.w) / r.n / UNIT
     return flat
 
 
@@ -291,7 +409,9 @@ def score(docs: DataFrame, model: tuple) -> DataFrame:
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    parts = encode(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    cls, share, many = classes(parts)
-    rows = coded(parts, cls, share)
+    with passing():
+        parts = encode(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
+        cls, share, many = classes(parts)
+        rows = keep(coded(parts, cls, share))
+    release(spark)
     return _scored(rows, _learned(rows, many, ROUNDS))

@@ -35,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found if ":" in found.split("/")[0] else f"file://{found}"
+    jvm = spark.sparkContext._jvm  # a folder without a scheme is one of the default file system
+    at = jvm.org.apache.hadoop.fs.Path(found)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -66,11 +68,11 @@ def keep(df: DataFrame) -> DataFrame:
     return df
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a working table and read it again: later steps start from files that outlive any executor."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._plumbline_path = path
     if _scopes:
@@ -84,6 +86,14 @@ def drop(*tables: DataFrame) -> None:
         delete(df.sparkSession, df._plumbline_path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have shuffle files of finished steps deleted: Spark does so once the driver's JVM has collected their handles."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -97,7 +107,7 @@ def _drop_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
-def small_batches(spark: SparkSession, rows: int = 4000, size: str = "4m") -> None:
+def small_batches(spark: SparkSession, rows: int = 4000, size: str = "3m") -> None:
     """Bound what one Arrow batch of long texts takes in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

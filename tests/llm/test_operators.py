@@ -336,3 +336,25 @@ def test_exceptions_spare_only_what_they_hold():
         found = [(e + 1 - n, e + 1, w, x) for e, (n, w, x) in m.automaton.iter(folded)]
         spared = [f for f in found if not f[3]]
         assert m.hits(folded) == [f for f in found if f[3] and not any(a <= f[0] and f[1] <= b for a, b, _, _ in spared)]
+
+
+def test_language_model_beats_the_unigram_however_tables_are_split(spark, monkeypatch):
+    """Two languages, words at random: neighbours tell the language, and so all but rule out half of the words."""
+    monkeypatch.setattr(lm, "SHARD", 40_000)
+    r = random.Random(9)
+    words = [[f"{c}{i}" for i in range(150)] for c in ("un", "de")]
+    texts = [" ".join(r.choices(words[i % 2], k=60)) for i in range(4500)]
+    learned = spark.createDataFrame(list(enumerate(texts[:4000])), "doc_id long, text string")
+    held = spark.createDataFrame(list(enumerate(texts[4000:])), "doc_id long, text string")
+    counts = {}
+    for w in " ".join(texts[:4000]).split():
+        counts[w] = counts.get(w, 1) + 1
+    total = sum(counts.values())
+    unigram = np.mean([np.log(counts[w] / total) for t in texts[4000:] for w in t.split()])
+    flat = []
+    for parts in (1, 32):
+        model = lm.train(learned.repartition(parts))
+        flat.append(model[2])
+        got = lm.score(held, model).agg(F.sum("log_prob") / F.sum("n_tokens")).first()[0]
+        assert got > unigram + 0.5
+    assert np.array_equal(*flat)
