@@ -8,7 +8,7 @@ its documents', and k-means over all words parts them, weighted by their counts;
 are split into classes of about equal mass. There are as many classes as the cube root of the words and 64 at least, a
 sixth as many groups. The network sees the classes of two tokens to the left and two to the right, never the token's
 own. A document's score is the sum of its tokens' log-probabilities. Documents are numbered chunk by chunk by the words
-of the chunk, and only the distinct words of a chunk are joined with the table.
+of the chunk, and only the distinct words of a chunk are joined with the table, by 64-bit hashes.
 
 Training is numpy. Documents are dealt by a hash to rounds and, in a round, to shards of about `SHARD` tokens; a shard
 is one descent over its documents in order, from the round's weights, which are averaged by tokens seen after it. All
@@ -33,14 +33,16 @@ from pyspark.sql import functions as F
 from .bpe import slices
 from .shared import columns, drop, keep, passing, release, small_batches, store, table
 
-LEAST, HIDDEN, ROUNDS, RATE, BATCH = 64, 16, 3, 2.0, 1024
+LEAST, HIDDEN, ROUNDS, RATE, BATCH = 64, 8, 3, 2.0, 1024
 SIDES = (-2, -1, 1, 2)
 #: The class beyond a document's ends: the last row of a side's table, however many classes there are.
 CLASSES = -1
 #: Tokens of a chunk and of a shard, and words that a lookup fetches at once.
 CHUNK, SHARD, FETCHED = 2_000_000, 4_000_000, 10_000
 #: Random vectors of words, by a hash, and their dimensions; k-means starts from so many frequent words, and its rounds.
-BUCKETS, WIDTH, FIRST, TURNS = 4096, 8, 2048, 5
+BUCKETS, WIDTH, FIRST, TURNS = 4096, 8, 2048, 3
+#: A document's vector has this length, so sums of up to MOST tokens' vectors fit in 16 bits.
+STEP, MOST = 63, 520
 #: Averaged weights are whole multiples of 1 / UNIT.
 UNIT = 1 << 24
 
@@ -49,6 +51,13 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def _word(w: bytes) -> int:
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(w)
+    return h - (1 << 64) if h >> 63 else h
+
+
 class _Places(dict):
     """Words numbered as they come."""
 
@@ -58,38 +67,51 @@ class _Places(dict):
 
 
 def _company(words, flat, sizes):
-    """For each word the sum of its documents' vectors, once for each token, in whole steps of 1 / 127."""
-    import zlib
-
+    """For each word the sum of its documents' vectors, once for each token, in whole steps."""
     import numpy as np
 
-    table = np.random.default_rng(1).normal(size=(WIDTH, BUCKETS))
-    bucket = np.array([zlib.crc32(w) % BUCKETS for w in words], np.int32)
+    table = np.random.default_rng(1).normal(size=(WIDTH, BUCKETS)).astype(np.float32)
+    bucket = words % BUCKETS
     doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     vec = np.stack([np.bincount(doc, weights=table[d][bucket][flat], minlength=len(sizes)) for d in range(WIDTH)])
-    vec = np.rint(127 * vec / np.maximum(1e-9, np.sqrt((vec * vec).sum(axis=0))))
+    vec = np.rint(STEP * vec / np.maximum(1e-9, np.sqrt((vec * vec).sum(axis=0))))
     return [np.bincount(flat, weights=vec[d][doc], minlength=len(words)).astype(np.int64) for d in range(WIDTH)]
 
 
 def _encoded(batches):
-    """Rows of documents, their tokens as places in their chunk's words; rows of the chunk's words, with counts and company, two sums a number."""
+    """Rows of documents, their tokens as places in their chunk's words, compressed; rows of the chunk's words, with
+    counts and company, four sums a number. What exceeds 16 bits goes on in rows without a place."""
     import numpy as np
+    import zstandard
 
-    pairs = [f"v{d}" for d in range(WIDTH // 2)]
-    names = ["chunk", "doc_id", "ids", "word", "place", "n", *pairs]
+    names = ["chunk", "doc_id", "ids", "word", "place", "n", "v0", "v1"]
+    press = zstandard.ZstdCompressor(level=1)
+
+    def packed(sums):
+        return [sum((sums[4 * h + i] & 0xFFFF) << (16 * i) for i in range(4)).view(np.int64) for h in range(2)]
 
     def written(known, docs, ids):
-        chunk, words = uuid.uuid4().int >> 65, list(known)
+        chunk, words = uuid.uuid4().int >> 65, np.array([_word(w) for w in known], np.int64)
         flat, sizes = np.concatenate(ids), np.array([len(x) for x in ids])
-        counts, sums = np.bincount(flat, minlength=len(words)), _company(words, flat, sizes)
-        held = [(sums[2 * d] << 32) | (sums[2 * d + 1] & 0xFFFFFFFF) for d in range(WIDTH // 2)]
         for i in range(0, len(docs), 10_000):
             d = docs[i : i + 10_000]
-            no = [pa.nulls(len(d), k) for k in (pa.binary(), pa.int32(), *[pa.int64()] * (1 + len(pairs)))]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(d), pa.int64()), pa.array(d, pa.int64()), pa.array([x.tobytes() for x in ids[i : i + 10_000]], pa.binary()), *no], names=names)
-        for i in range(0, len(words), 50_000):
-            w, part = words[i : i + 50_000], slice(i, i + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(w), pa.int64()), pa.nulls(len(w), pa.int64()), pa.nulls(len(w), pa.binary()), pa.array(w, pa.binary()), pa.array(range(i, i + len(w)), pa.int32()), pa.array(counts[part], pa.int64()), *[pa.array(h[part], pa.int64()) for h in held]], names=names)
+            no = [pa.nulls(len(d), k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(d), pa.int64()), pa.array(d, pa.int64()), pa.array([press.compress(x.tobytes()) for x in ids[i : i + 10_000]], pa.binary()), *no], names=names)
+        counts, sums = np.bincount(flat, minlength=len(words)), _company(words, flat, sizes)
+        place, n = np.arange(len(words)), counts
+        while len(place):
+            turns = -(-n // MOST)  # rows still to come for these words, this one included
+            part = [np.trunc(x[place] / turns).astype(np.int64) for x in sums]
+            for x, y in zip(sums, part, strict=True):
+                x[place] -= y
+            first, lanes = n is counts, packed(part)
+            now = np.where(turns > 1, n - (turns - 1) * MOST, n)
+            for i in range(0, len(place), 50_000):
+                at = slice(i, i + 50_000)
+                k = len(place[at])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(words[place[at]]), pa.array(place[at].astype(np.int32)) if first else pa.nulls(k, pa.int32()), pa.array(now[at]), *[pa.array(x[at]) for x in lanes]], names=names)
+            more = turns > 1
+            place, n = place[more], ((turns - 1) * MOST)[more]
 
     known, docs, ids, held = _Places(), [], [], 0
     for whole in batches:
@@ -109,7 +131,7 @@ def encode(docs: DataFrame, text: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
     number = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None)
     given = docs.select(number.cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return store(given.mapInArrow(_encoded, "chunk long, doc_id long, ids binary, word binary, place int, n long, " + ", ".join(f"v{d} long" for d in range(WIDTH // 2))), "encoded", "zstd")
+    return store(given.mapInArrow(_encoded, "chunk long, doc_id long, ids binary, word long, place int, n long, v0 long, v1 long"), "encoded", "zstd")
 
 
 class Words:
@@ -120,47 +142,57 @@ class Words:
 
     def __getitem__(self, word: bytes):
         if self.known is None:
-            self.known = {bytes(r.word): r[self.column] for r in self.rows.limit(FETCHED).collect()}  # FETCHED rows
-        if word not in self.known:
-            r = self.rows.where(F.col("word") == F.lit(word)).first()
-            self.known[word] = r[self.column] if r else self.unseen
-        return self.known[word]
+            self.known = {r.word: r[self.column] for r in self.rows.limit(FETCHED).collect()}  # FETCHED rows
+        key = _word(word)
+        if key not in self.known:
+            r = self.rows.where(F.col("word") == F.lit(key)).first()
+            self.known[key] = r[self.column] if r else self.unseen
+        return self.known[key]
 
 
 def class_count(words: int) -> int:
     return max(LEAST, math.ceil(words ** (1 / 3)))
 
 
+def _vectors(batch):
+    """Words' vectors from a number each, eight bytes of it."""
+    import numpy as np
+
+    return batch.column(2).to_numpy().view(np.int8).reshape(-1, WIDTH)
+
+
+def _nearest(x, centres):
+    """The nearest centre of each vector; of equally near ones the first."""
+    import numpy as np
+
+    c = np.array(centres, np.float64)
+    far = (c * c).sum(axis=1)
+    return np.concatenate([np.zeros(0, np.int64), *[(x[i : i + 65_536].astype(np.float64) @ (-2 * c.T) + far).argmin(axis=1) for i in range(0, len(x), 65_536)]])
+
+
 def _grouper(centres):
-    """word, n, grp: each word with the nearest centre; ties go to the first."""
+    """word, n, grp of each word."""
 
     def run(batches):
         import numpy as np
 
-        c = np.array(centres, float)
         for batch in batches:
-            x = np.stack([batch.column(2 + d).to_numpy().astype(float) for d in range(WIDTH)], axis=1)
-            grp = np.concatenate([(x[i : i + 65_536] @ (-2 * c.T) + (c * c).sum(axis=1)).argmin(axis=1) for i in range(0, len(x), 65_536)]) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grp.astype(np.int32))], names=["word", "n", "grp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_nearest(_vectors(batch), centres).astype(np.int32))], names=["word", "n", "grp"])
 
     return run
 
 
 def _summer(centres):
-    """grp, n, sums: of a batch's words, whole numbers."""
+    """grp, n and the sums of a batch's words' vectors, whole numbers."""
 
     def run(batches):
         import numpy as np
 
-        group = _grouper(centres)
         for batch in batches:
-            for got in group([batch]):
-                grp, n = got.column(2).to_numpy(), batch.column(1).to_numpy()
-                sums = []
-                for g in np.unique(grp).tolist():
-                    at = grp == g
-                    sums.append((g, int(n[at].sum()), *[int((n[at] * batch.column(2 + d).to_numpy()[at].astype(np.int64)).sum()) for d in range(WIDTH)]))
-                yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in sums], pa.int32()), *[pa.array([s[i] for s in sums], pa.int64()) for i in range(1, WIDTH + 2)]], names=["grp", "n", *[f"s{d}" for d in range(WIDTH)]])
+            x, n = _vectors(batch).astype(np.float64), batch.column(1).to_numpy().astype(np.float64)
+            grp = _nearest(x, centres)
+            sums = [np.bincount(grp, weights=n * w, minlength=len(centres)).astype(np.int64) for w in (np.ones(len(n)), *x.T)]  # below 2 ** 53, so exact
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(centres)), pa.int32()), *map(pa.array, sums)], names=["grp", "n", *[f"s{d}" for d in range(WIDTH)]])
 
     return run
 
@@ -170,7 +202,7 @@ def _centres(counted: DataFrame, many: int):
     import numpy as np
 
     first = counted.orderBy(F.desc("n"), "word").limit(FIRST).collect()  # FIRST rows
-    x, w = np.array([[r[f"x{d}"] for d in range(WIDTH)] for r in first], float).reshape(-1, WIDTH), np.array([r.n for r in first], float)
+    x, w = np.array([r.x for r in first], np.int64).view(np.int8).reshape(-1, WIDTH).astype(float), np.array([r.n for r in first], float)
     centres, far = [], np.full(len(x), np.inf)
     for _ in range(min(many, len(x))):
         at = int((np.where(np.isinf(far), 1.0, far) * w).argmax())
@@ -179,7 +211,8 @@ def _centres(counted: DataFrame, many: int):
     for _ in range(TURNS if centres else 0):
         rows = counted.mapInArrow(_summer(centres), "grp int, n long, " + ", ".join(f"s{d} long" for d in range(WIDTH)))
         for r in rows.groupBy("grp").agg(F.sum("n").alias("n"), *[F.sum(f"s{d}").alias(f"s{d}") for d in range(WIDTH)]).collect():  # a row a group
-            centres[r.grp] = [r[f"s{d}"] / r.n for d in range(WIDTH)]
+            if r.n:
+                centres[r.grp] = [r[f"s{d}"] / r.n for d in range(WIDTH)]
     return centres
 
 
@@ -190,13 +223,14 @@ def classes(parts: DataFrame) -> tuple[Words, Words, int]:
     doubling, then of a hash; groups come by mass, the largest last.
     """
     spark = parts.sparkSession
-    lanes = [e for d in range(WIDTH // 2) for e in (f"shiftright(v{d}, 32)", f"shiftright(shiftleft(v{d}, 32), 32)")]
-    sums = parts.where("word IS NOT NULL").select("word", "n", *[F.expr(e).alias(f"s{d}") for d, e in enumerate(lanes)]).groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"s{d}").alias(f"s{d}") for d in range(WIDTH)])
-    counted = store(sums.select("word", (F.col("n") + 1).alias("n"), *[F.round(F.col(f"s{d}") / F.col("n")).cast("short").alias(f"x{d}") for d in range(WIDTH)]), "counted", "zstd")
+    lanes = [F.shiftright(F.shiftleft(f"v{d // 4}", 48 - 16 * (d % 4)), 48).alias(f"s{d}") for d in range(WIDTH)]
+    sums = parts.where("word IS NOT NULL").select("word", "n", *lanes).groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"s{d}").alias(f"s{d}") for d in range(WIDTH)])
+    means = " | ".join(f"shiftleft(CAST(round(s{d} / n) AS BIGINT) & 255L, {8 * d})" for d in range(WIDTH))
+    counted = store(sums.select("word", (F.col("n") + 1).alias("n"), F.expr(means).alias("x")), "counted", "zstd")
     release(spark)
     words, total = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     many = class_count(words)
-    placed = store(counted.mapInArrow(_grouper(_centres(counted, max(1, many // 6))), "word binary, n long, grp int").withColumn("bin", F.floor(16 * F.log2("n")).cast("int")), "grouped", "zstd")
+    placed = store(counted.mapInArrow(_grouper(_centres(counted, max(1, many // 6))), "word long, n long, grp int").withColumn("bin", F.floor(16 * F.log2("n")).cast("int")), "grouped", "zstd")
     own = placed.where(F.col("n") > 2 * total / many).orderBy(F.desc("n"), "word").select("word", "n").collect()  # of less than half the classes
     rest = placed.where(F.col("n") <= 2 * total / many)
     bins = rest.groupBy("grp", "bin").agg(F.sum("n").alias("mass")).collect()  # 16 rows a doubling and group
@@ -217,7 +251,7 @@ def classes(parts: DataFrame) -> tuple[Words, Words, int]:
     place = F.col("before") + F.col("mass") * (F.expr("pmod(xxhash64(word), 1000003)") / 1000003)
     given = F.broadcast(spark.createDataFrame(rules, "grp int, bin int, before double, mass double, base int, shares int, whole double"))
     cut = rest.join(given, ["grp", "bin"]).select("word", "n", (F.col("base") + F.least(F.col("shares") - 1, F.floor(place / F.col("whole") * F.col("shares")).cast("int"))).alias("cls"))
-    alone = spark.createDataFrame([(r.word, r.n, i) for i, r in enumerate(own)], "word binary, n long, cls int")
+    alone = spark.createDataFrame([(r.word, r.n, i) for i, r in enumerate(own)], "word long, n long, cls int")
     cut = store(cut.union(alone), "classed", "zstd")
     drop(counted, placed)
     of = {r.cls: r.mass for r in cut.groupBy("cls").agg(F.sum("n").alias("mass")).collect()}  # a row a class
@@ -233,18 +267,20 @@ def coded(parts: DataFrame, cls: Words, share: Words) -> DataFrame:
 
     def run(docs, words):
         import numpy as np
+        import zstandard
 
         kind, part = np.zeros(words.num_rows, np.uint16), np.zeros(words.num_rows)
         place = words.column("place").to_numpy()
         kind[place], part[place] = words.column("cls").to_numpy(), words.column("share").to_numpy()
-        ids = docs.column("ids").to_pylist()
+        press = zstandard.ZstdDecompressor()
+        ids = [press.decompress(i) for i in docs.column("ids").to_pylist()]
         sizes = np.array([len(i) // 4 for i in ids], np.int64)
         flat = np.frombuffer(b"".join(ids), np.int32)
         ends, sums, codes = np.cumsum(sizes), np.concatenate([[0.0], np.cumsum(part[flat])]), kind[flat]
         return pa.table({"doc_id": docs.column("doc_id"), "codes": pa.array([codes[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary()), "share": pa.array(sums[ends] - sums[ends - sizes])})
 
     docs = parts.where("ids IS NOT NULL").select("chunk", "doc_id", "ids")
-    found = parts.where("word IS NOT NULL").select("chunk", "word", "place").join(cls.rows, "word", "left")
+    found = parts.where("place IS NOT NULL").select("chunk", "word", "place").join(cls.rows, "word", "left")
     found = found.select(F.col("chunk").alias("of"), "place", F.coalesce("cls", F.lit(cls.unseen)).alias("cls"), F.coalesce("share", F.lit(share.unseen)).alias("share"))
     return store(docs.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(run, "doc_id long, codes binary, share double"), "coded", "zstd")
 
