@@ -1,14 +1,18 @@
 """WARC archives as a Python data source, and revisit records for equal payloads.
 
 Archives are gzip members of one record each. A member's extra field "PL" holds its compressed length, so a reader
-that needs a record no further goes to the next without inflating it; members of other writers lack the field and
-are inflated to their end. Files are the partitions of a scan. Filters on record_type and other header columns are
+that needs a record no further goes to the next without inflating it. Files of other writers are read as well: from
+the first member without that field, or from the start where a file isn't compressed, records follow one another in
+the inflated bytes, several in a member or one across members, and are skipped by their Content-Length. Header names
+count in any case, and any header but Content-Length may be missing. Files are the partitions of a scan. Filters on record_type and other header columns are
 pushed down: the reader inflates a record's headers first, and payloads only of records that pass, and only if
 they are asked for (option payload, "true" unless set).
 
 Defined results: a null payload counts as empty; whole payloads are kept, of any length; equal payloads of at
 least `least` bytes become revisits of the record with the smallest page_id among them; repeated rows with that
-page_id are responses each; a null page_id is no smallest id unless all are null; a null url is kept as null; an
+page_id are responses each; records of other types have no payload here, those of other writers no page_id; their url is
+kept as it stands, their digest too, and where they have none it is that of the payload if that is read; a file that
+ends inside a record is an error; appending adds records to a folder; a null page_id is no smallest id unless all are null; a null url is kept as null; an
 empty table writes no records and reads back none; other columns are left out.
 """
 
@@ -21,6 +25,7 @@ import sys
 import uuid
 import zlib
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -36,7 +41,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # planning workers
 SCHEMA = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 WRITTEN = ("page_id", "url", "payload", "record_type", "payload_digest", "refers_to")
 ROLL = 64 << 20
-HEADERS = {"record_type": "WARC-Type", "url": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "page_id": "X-Page-Id", "refers_to": "X-Refers-To-Page"}
+HEADERS = {"record_type": "warc-type", "url": "warc-target-uri", "payload_digest": "warc-payload-digest", "page_id": "x-page-id", "refers_to": "x-refers-to-page"}
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -55,7 +60,8 @@ def record(page_id, url, payload: bytes, kind: str, digest: str, refers_to) -> b
     block = http + (payload if kind == "response" else b"")
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", f"X-Payload-Length: {len(payload)}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
+        plain = url == url.strip() and "\r" not in url and "\n" not in url
+        lines += ["WARC-Target-URI: " + url] if plain else ["X-Escaped-URI: 1", "WARC-Target-URI: " + quote(url, safe="")]
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
     if kind == "revisit":
@@ -123,7 +129,7 @@ class Writer(DataSourceArrowWriter):
     def commit(self, messages):
         fs, root = _fs(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/_committed") as f:
+        with fs.open_output_stream(f"{root}/_committed-{uuid.uuid4().hex}") as f:  # one for each write
             f.write("".join(f"{p}\n" for m in messages if m for p in m.paths).encode())
 
     def abort(self, messages):
@@ -150,12 +156,14 @@ class Reader(DataSourceReader):
         from pyarrow import fs as pfs
 
         fs, root = _fs(self.path)
-        info = fs.get_file_info(f"{root}/_committed")
-        if info.type == pfs.FileType.File:
-            with fs.open_input_stream(f"{root}/_committed") as f:
-                names = f.read().decode().split()
-        else:
-            names = sorted(i.base_name for i in fs.get_file_info(pfs.FileSelector(root)) if i.base_name.endswith(".warc.gz"))
+        there = sorted(i.base_name for i in fs.get_file_info(pfs.FileSelector(root)))
+        commits = [n for n in there if n.startswith("_committed-")]
+        names = [n for n in there if n.endswith((".warc.gz", ".warc"))]
+        if commits:
+            names = []
+            for c in commits:
+                with fs.open_input_stream(f"{root}/{c}", compression=None) as f:
+                    names += f.read().decode().split()
         return [Files([f"{root}/{n}"]) for n in names] or [Files([])]
 
     def read(self, partition):
@@ -181,70 +189,159 @@ class Reader(DataSourceReader):
         while at < size:
             f.seek(at)
             head = f.read(64 << 10)
-            assert head[:3] == b"\x1f\x8b\x08", "not a gzip member"
-            start, length, flags = 10, None, head[3]
-            if flags & 4:
-                (extra,) = struct.unpack_from("<H", head, 10)
-                start, field = 12 + extra, head[12 : 12 + extra]
-                if field[:4] == b"PL\x04\0":
-                    (length,) = struct.unpack_from("<I", field, 4)
-            for flag in (8, 16):
-                if flags & flag:
-                    start = head.index(b"\0", start) + 1
-            start += 2 * bool(flags & 2)
-            z, got, fed = zlib.decompressobj(-15), b"", head[start : length or len(head)]
-            got = z.decompress(fed, 4096)
-            taken = len(head) if length is None else min(length, len(head))
+            length = own_length(head)
+            if length is None:
+                yield from self.parsed(Stream(inflated(f, at) if head[:2] == b"\x1f\x8b" else plain(f, at)))
+                return
+            start = 12 + struct.unpack_from("<H", head, 10)[0]
+            z = zlib.decompressobj(-15)
+            got, taken = z.decompress(head[start:length], 4096), min(length, len(head))
             while b"\r\n\r\n" not in got and not z.eof:
                 got, taken = self.more(f, z, got, at, taken, length)
             first, _, rest = got.partition(b"\r\n\r\n")
-            fields = dict(line.split(": ", 1) for line in first.decode().split("\r\n")[1:])
+            fields = headers(first)
             passes = self.passes(fields)
-            if length is None or (passes and self.payload and fields["WARC-Type"] == "response"):
+            if passes and self.payload and fields["warc-type"] == "response":
                 parts = [rest]
                 while not z.eof:
                     got, taken = self.more(f, z, b"", at, taken, length, 1 << 20)
                     parts.append(got)
                 rest = b"".join(parts)
             if passes:
-                yield self.row(fields, rest)
-            at += length if length is not None else taken - len(z.unused_data) - len(z.unconsumed_tail) + 8
+                yield self.row(fields, rest[: int(fields["content-length"])])
+            at += length
+
+    def parsed(self, stream):
+        """Records that follow one another in a stream."""
+        while (first := stream.until(b"\r\n\r\n")) is not None:
+            fields = headers(first)
+            passes = self.passes(fields)
+            block = stream.take(int(fields["content-length"]), passes and self.payload and fields.get("warc-type") in PAYLOADS)
+            if passes:
+                yield self.row(fields, block)
 
     @staticmethod
     def more(f, z, got, at, taken, length, most=4096):
         fed = z.unconsumed_tail
         if not fed:
             f.seek(at + taken)
-            fed = f.read(min(1 << 20, length - taken) if length is not None else 1 << 20)
+            fed = f.read(min(1 << 20, length - taken))
             taken += len(fed)
             if not fed:
                 raise ValueError("a record ends early")
         return got + z.decompress(fed, most), taken
 
     def passes(self, fields):
-        for column, sets in self.wanted.items():
-            value = fields.get(HEADERS[column])
-            value = None if value is None else int(value) if column in ("page_id", "refers_to") else self.plain(column, value)
-            if any(value not in s for s in sets):
-                return False
-        return True
+        return all(self.value(fields, column) in s for column, sets in self.wanted.items() for s in sets)
 
     @staticmethod
-    def plain(column, value):
+    def value(fields, column):
+        """A column that a header gives; null where the header is missing."""
+        value = fields.get(HEADERS[column])
+        if value is None:
+            return None
+        if column in ("page_id", "refers_to"):
+            return int(value)
         if column == "payload_digest":
-            return value.removeprefix("sha1:")
-        return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%") if column == "url" else value
-
-    def row(self, fields, rest):
-        digest, payload = fields["WARC-Payload-Digest"].removeprefix("sha1:"), None
-        if self.payload and fields["WARC-Type"] == "response":
-            block = rest[: int(fields["Content-Length"])]
-            payload = block.partition(b"\r\n\r\n")[2]
-            if base32_sha1(payload) != digest or len(payload) != int(fields.get("X-Payload-Length", len(payload))):
-                raise ValueError(f"a payload differs from its digest: {fields.get('WARC-Record-ID')}")
-        number = lambda k: int(fields[k]) if k in fields else None
-        url = fields.get("WARC-Target-URI")
-        return (number("X-Page-Id"), None if url is None else self.plain("url", url), fields["WARC-Type"], digest, number("X-Payload-Length"), number("X-Refers-To-Page"), payload)
+            return value[5:] if value[:5].lower() == "sha1:" else value
+        return unquote(value) if column == "url" and "x-escaped-uri" in fields else value
+
+    def row(self, fields, block):
+        kind, digest, payload = fields.get("warc-type"), self.value(fields, "payload_digest"), None
+        size = int(fields["x-payload-length"]) if "x-payload-length" in fields else None
+        if self.payload and kind in PAYLOADS:
+            payload = block.partition(b"\r\n\r\n")[2] if kind == "response" and block[:5] == b"HTTP/" else block
+            found = base32_sha1(payload)
+            if size is not None and (found, len(payload)) != (digest, size):
+                raise ValueError(f"a payload differs from its digest: {fields.get('warc-record-id')}")
+            digest, size = digest or found, len(payload)
+        return (self.value(fields, "page_id"), self.value(fields, "url"), kind, digest, size, self.value(fields, "refers_to"), payload)
+
+
+#: Types of records that hold a payload.
+PAYLOADS = ("response", "resource")
+#: Bytes of a header at most.
+HEADER = 1 << 20
+
+
+def own_length(head: bytes) -> int | None:
+    """The length of a member that says it itself."""
+    if head[:4] == b"\x1f\x8b\x08\x04" and head[12:16] == b"PL\x04\0":
+        return struct.unpack_from("<I", head, 16)[0]
+    return None
+
+
+def headers(first: bytes) -> dict[str, str]:
+    """A record's headers, names in lower case; lines that begin with white space go on with the one before."""
+    version, *lines = first.lstrip(b"\r\n").decode("utf-8", "replace").split("\r\n")
+    if not version.startswith("WARC/"):
+        raise ValueError("no WARC record begins here")
+    out, name = {}, None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        else:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    if "content-length" not in out:
+        raise ValueError("a record without Content-Length")
+    return out
+
+
+def plain(f, at: int):
+    f.seek(at)
+    while part := f.read(1 << 20):
+        yield part
+
+
+def inflated(f, at: int):
+    """Bytes of gzip members that follow one another."""
+    z, fed = zlib.decompressobj(31), b""
+    f.seek(at)
+    while True:
+        if z.eof:
+            fed, z = z.unused_data, zlib.decompressobj(31)
+        fed = fed or f.read(1 << 20)
+        if not fed:
+            return
+        got = z.decompress(fed, 1 << 20)
+        fed = z.unconsumed_tail
+        if got:
+            yield got
+
+
+class Stream:
+    """Parts of bytes, taken up to a mark or by number; what isn't asked for is not kept."""
+
+    def __init__(self, parts):
+        self.parts, self.held = iter(parts), b""
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What stands before the mark, line ends in front left out; null at the end of the stream."""
+        self.held = self.held.lstrip(b"\r\n")
+        while (at := self.held.find(mark)) < 0:
+            part = next(self.parts, None)
+            if part is None and not self.held:
+                return None
+            if part is None or len(self.held) > HEADER:
+                raise ValueError("a record's header does not end")
+            self.held = (self.held + part).lstrip(b"\r\n")
+        out, self.held = self.held[:at], self.held[at + len(mark) :]
+        return out
+
+    def take(self, n: int, keep: bool) -> bytes:
+        out = []
+        while True:
+            part, self.held = self.held[:n], self.held[n:]
+            n -= len(part)
+            if keep:
+                out.append(part)
+            if not n:
+                return b"".join(out)
+            self.held = next(self.parts, b"")
+            if not self.held:
+                raise ValueError("a record ends early")
 
 
 def register(spark: SparkSession) -> None:
