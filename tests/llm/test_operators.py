@@ -358,3 +358,56 @@ def test_language_model_beats_the_unigram_however_tables_are_split(spark, monkey
         got = lm.score(held, model).agg(F.sum("log_prob") / F.sum("n_tokens")).first()[0]
         assert got > unigram + 0.5
     assert np.array_equal(*flat)
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    import gzip
+
+    def rec(lines, block):
+        return "\r\n".join(["WARC/1.0", *lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    page = lambda body: b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
+    info = rec(["WARC-Type: warcinfo"], b"software: other")
+    bare = rec(["WARC-Type: response", "WARC-Target-URI: http://a/%0A%25"], page(b"one\r\n\r\ntwo"))
+    lower = rec(["warc-type: response", "warc-target-uri: http://b/", "warc-payload-digest: sha1:OTHER"], page(b"x" * 3_000_000))
+    asked = rec(["WARC-Type: request", "WARC-Target-URI:  http://b/"], b"GET / HTTP/1.1\r\n\r\n")
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(info + bare) + gzip.compress(lower) + gzip.compress(asked))
+    (tmp_path / "b.warc").write_bytes(info + lower + bare)
+    whole = info + bare
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(whole[:70]) + gzip.compress(whole[70:]))
+    got = warc.read(spark, f"file://{tmp_path}").collect()
+    assert sorted(r.record_type for r in got) == ["request"] + ["response"] * 5 + ["warcinfo"] * 3
+    one = [r for r in got if r.url == "http://a/%0A%25"]
+    assert len(one) == 3 and all(bytes(r.payload) == b"one\r\n\r\ntwo" and r.payload_digest == warc.base32_sha1(b"one\r\n\r\ntwo") for r in one)
+    assert [(r.payload_bytes, r.payload_digest) for r in got if r.url == "http://b/" and r.record_type == "response"] == [(3_000_000, "OTHER")] * 2
+    assert warc.read(spark, f"file://{tmp_path}", payload=False).where("record_type = 'response' AND url = 'http://b/'").count() == 2
+    (tmp_path / "d.warc").write_bytes(bare[:-20])
+    with pytest.raises(Exception, match="ends early"):
+        warc.read(spark, f"file://{tmp_path}").collect()
+
+
+def test_warc_appends_and_revisits_equal_brute_force(spark):
+    r = random.Random(6)
+    rows = [(i, f"http://h/{i}%0A\n" if i % 3 else None, r.choice([None, b"", b"a", b"bb", bytes([i]) * 5])) for i in range(60)]
+    path = shared.work_path(spark, "warc")
+    for part in (rows[:30], rows[30:]):
+        warc.write(spark.createDataFrame(part, "page_id long, url string, payload binary"), path)
+    got = {x.page_id: x for x in warc.read(spark, path).collect()}
+    assert len(got) == 60
+    for part in (rows[:30], rows[30:]):
+        for i, url, payload in part:
+            first = min(j for j, _, p in part if (p or b"") == (payload or b""))
+            assert (got[i].url, got[i].record_type, got[i].refers_to, got[i].payload_bytes) == (url, "response" if first == i else "revisit", None if first == i else first, len(payload or b""))
+
+
+def test_bad_hosts_lose_their_documents(spark):
+    r = random.Random(1)
+    good = lambda: " ".join(r.choices([f"word{i}" for i in range(500)], k=40))
+    signs = " " + " ".join(f"#{j}$" for j in range(20))
+    rows = [(i, f"h{i % 20}", good(), "x") for i in range(1000)]
+    rows += [(1000 + i, "symbols", good() + signs if i % 10 else good(), "x") for i in range(50)] + [(2000 + i, "lines", good() + "\nmenu" * 4, "x") for i in range(50)]
+    rows += [(3000, "small", good() + signs, "x")] + [(4000, None, good(), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, n_words string")
+    got = {x.doc_id: x for x in quality.judge(docs).collect()}
+    assert [i for i, x in got.items() if not x.kept and not x.base_failed] == [i for i in got if 1000 <= i < 3000 and not got[i].base_failed]
+    assert not any(x.base_failed for i, x in got.items() if 1000 <= i < 2000) and got[4000].kept and got[3000].kept
