@@ -23,8 +23,10 @@ from __future__ import annotations
 
 import base64
 import contextlib
+import ctypes
 import gc
 import hashlib
+import sys
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,11 +37,11 @@ from .shared import columns, small_batches
 #: Pieces that a worker keeps, in two generations: those met since the last change and those before. Bounds memory, not results.
 KEPT, KEPT_BYTES = 150_000, 100
 #: Words in one recursive query, and the sum of their squared lengths, which bounds the states of its rounds.
-AT_ONCE, STATES = 20_000, 4_000_000
+AT_ONCE, STATES = 10_000, 4_000_000
 #: Bytes of a piece that goes to the recursion whole, of a block of a longer one, and tokens first encoded again on each side of a border.
 LONG, BLOCK, REACH = 192, 64, 4
 #: Bytes of text encoded at once.
-SLICE = 4_000_000
+SLICE = 3_200_000
 
 MERGE = """
 WITH RECURSIVE state(w, ids, n) AS (
@@ -102,7 +104,7 @@ class Codec:
         self.decimals = pa.array([b" %d" % i for i in range(max(self.token) + 1)], pa.binary())
         splits = [(ranks[b[:i]], ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
         self.ordered = all(max(l, r) < t for l, r, t in splits)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": ""})
         self._put("merge_rows", l=pa.array([s[0] for s in splits], pa.int32()), r=pa.array([s[1] for s in splits], pa.int32()), token=pa.array([s[2] for s in splits], pa.int32()))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
         self._put("vocab_rows", token=pa.array(list(ranks.values()), pa.int32()), hex=pa.array([b.hex() for b in ranks]))
@@ -299,6 +301,8 @@ def _few_objects():
     finally:
         gc.enable()
         pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 _codecs: dict[int, Codec] = {}
@@ -355,6 +359,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
                 with _few_objects():
                     got = codec.encode(batch.column(at), ids, digests)
                 yield _with(batch, got)
+        codec.old = {}  # a worker that goes on to other work keeps one generation at most
 
     return df.mapInArrow(run, _schema(df, **added))
 
