@@ -41,7 +41,7 @@ AT_ONCE, STATES = 10_000, 4_000_000
 #: Bytes of a piece that goes to the recursion whole, of a block of a longer one, and tokens first encoded again on each side of a border.
 LONG, BLOCK, REACH = 192, 64, 4
 #: Bytes of text encoded at once.
-SLICE = 3_200_000
+SLICE = 4_200_000
 
 MERGE = """
 WITH RECURSIVE state(w, ids, n) AS (
@@ -347,7 +347,7 @@ def slices(batch: pa.RecordBatch, at: int, most: int = 8_000_000):
 
 def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
     """df with n_tokens long and, as asked for, ids array<int> and ids_sha256, decoded_sha256 string."""
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, size="4m")
     ranks = _vocabulary(df, vocabulary)
     added = {"n_tokens": T.LongType()} | ({"ids": T.ArrayType(T.IntegerType())} if ids else {}) | ({"ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} if digests else {})
 
