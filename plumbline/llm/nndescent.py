@@ -2,7 +2,8 @@
 
 Vectors of one label are compared, equal ones as one class. Random hyperplanes deal classes to small blocks, whose
 best pairs start a graph of each class's nearest neighbours. A round joins, at every class, its neighbours and
-those it is a neighbour of; what is nearer than a list's last enters it. Lists whose neighbours are all links are
+those it is a neighbour of; what is nearer than a list's last enters it, and nothing else leaves the task that
+compared it. Two that were neighbours of a class the round before aren't compared there again. Lists whose neighbours are all links are
 saturated and may grow to four times their length. An audit compares a few classes with all of their label: for each
 component, what share of its classes' links lies inside it. Until that recall is reached, rounds go on with longer
 lists; links that the audit finds are added. Where rounds end before, or too few components have links to tell, every
@@ -66,41 +67,43 @@ def _codes(batches):
                 planes[d] = np.random.default_rng(d).normal(size=(STARTS * 40, d))
             signs = (planes[d] @ np.frombuffer(vec, np.float64) > 0).reshape(STARTS, 40)
             bits = max(0, int(np.ceil(np.log2(max(1, m) / (BLOCK / 2)))))
-            out += [(f"{label}|{s}|{signs[s, :bits].astype(int).tolist()}", key, vec) for s in range(STARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=["node", "key", "vec"])
+            out += [(f"{label}|{s}|{signs[s, :bits].astype(int).tolist()}", key) for s in range(STARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.binary())], names=["node", "key"])
 
 
 def _grouped(batches):
-    """(keys, vectors) of each node, from rows sorted by node: node, key, vec, ..."""
-    node, keys, vecs = None, [], []
+    """Rows of each node, from rows sorted by node: node, key, vec, last, new."""
+    node, rows = None, []
     for batch in batches:
-        for n, k, v in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if n != node:
-                if len(keys) > 1:
-                    yield node, keys, vecs
-                node, keys, vecs = n, [], []
-            keys.append(k), vecs.append(v)
-    if len(keys) > 1:
-        yield node, keys, vecs
+        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if row[0] != node:
+                if len(rows) > 1:
+                    yield rows
+                node, rows = row[0], []
+            rows.append(row)
+    if len(rows) > 1:
+        yield rows
 
 
-def _nearest(most: int):
-    """Each key's nearest ones within its node."""
+def _nearest(most: int, threshold: float):
+    """Each key's nearest ones within its node, one of the two new there, if they link or reach the key's last."""
 
     def run(batches):
         import numpy as np
 
         src, dst, cos = [], [], []
-        for _, keys, vecs in _grouped(batches):
-            u = _units(vecs)
+        for rows in _grouped(batches):
+            u, old = _units([r[2] for r in rows]), np.array([not r[4] for r in rows])
             c = u @ u.T
-            np.fill_diagonal(c, -2)
-            k = min(most, len(keys) - 1)
+            np.fill_diagonal(c, -3)
+            c[np.ix_(old, old)] = -3
+            k = min(most, len(rows) - 1)
             top = np.argpartition(-c, k - 1, axis=1)[:, :k]
-            for i, js in enumerate(top.tolist()):
-                src += [keys[i]] * k
-                dst += [keys[j] for j in js]
-                cos += c[i, js].tolist()
+            near = np.take_along_axis(c, top, axis=1)
+            x, y = np.nonzero(near >= np.minimum([r[3] for r in rows], threshold)[:, None])
+            src += [rows[i][1] for i in x.tolist()]
+            dst += [rows[j][1] for j in top[x, y].tolist()]
+            cos += near[x, y].tolist()
             if len(src) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary()), pa.array(cos, pa.float64())], names=["src", "dst", "cos"])
                 src, dst, cos = [], [], []
@@ -109,18 +112,36 @@ def _nearest(most: int):
     return run
 
 
-def _in_nodes(rows: DataFrame, most: int) -> DataFrame:
-    """Rows (node, key, vec) in nodes of bounded size; larger ones are dealt by hash."""
-    n = rows.groupBy("node").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("parts")).where("parts > 1")
-    cut = rows.join(n, "node", "left").withColumn("node", F.when(F.col("parts") > 1, F.concat("node", F.lit("#"), F.expr("pmod(xxhash64(key, node), parts)").cast("string"))).otherwise(F.col("node")))
-    return cut.select("node", "key", "vec").repartition("node").sortWithinPartitions("node", "key").mapInArrow(_nearest(most), "src binary, dst binary, cos double")
+def _in_nodes(rows: DataFrame, vectors: DataFrame, most: int, threshold: float) -> DataFrame:
+    """Pairs of stored rows (node, key, new) in nodes of bounded size; larger ones are dealt by hash and wholly compared.
 
+    Rows travel without vectors (key, vec, last) until their node is known."""
+    n = store(rows.groupBy("node").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("parts")).where("parts > 1"), "large")
+    cut = rows.join(n, "node", "left").withColumn("new", F.col("new") | F.col("parts").isNotNull())
+    cut = cut.withColumn("node", F.when(F.col("parts") > 1, F.concat("node", F.lit("#"), F.expr("pmod(xxhash64(key, node), parts)").cast("string"))).otherwise(F.col("node")))
+    dealt = cut.join(vectors, "key").select("node", "key", "vec", "last", "new")
+    return dealt.repartition("node").sortWithinPartitions("node", "key").mapInArrow(_nearest(most, threshold), "src binary, dst binary, cos double")
 
-def _best(graph: DataFrame, most: int, threshold: float) -> DataFrame:
-    """The nearest `most` of each src, or up to four times as many links."""
-    both = graph.union(graph.select("dst", "src", "cos")).groupBy("src", "dst").agg(F.max("cos").alias("cos"))
+
+def _best(pairs: DataFrame, most: int, threshold: float) -> DataFrame:
+    """The nearest `most` of each src, or up to four times as many links, ranked; pairs: src, dst, cos, new."""
+    both = pairs.union(pairs.select("dst", "src", "cos", "new")).groupBy("src", "dst").agg(F.max("cos").alias("cos"), F.min("new").alias("new"))
     rank = both.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("cos"), "dst")))
-    return rank.where((F.col("r") <= most) | ((F.col("cos") >= threshold) & (F.col("r") <= 4 * most))).drop("r")
+    return rank.where((F.col("r") <= most) | ((F.col("cos") >= threshold) & (F.col("r") <= 4 * most)))
+
+
+def _around(graph: DataFrame, fresh: bool) -> DataFrame:
+    """node, key, new: each class with its neighbours and those it is a neighbour of; fresh: all are new.
+
+    Otherwise classes whose neighbours are all old are left out."""
+    pairs = graph.select(F.col("src").alias("at"), F.col("dst").alias("key"), "new").union(graph.select("dst", "src", "new")).union(graph.select("src", "src", F.lit(False)))
+    rows = pairs.groupBy("at", "key").agg(F.min("new").alias("new"))
+    if fresh:
+        rows = rows.withColumn("new", F.lit(True))
+    else:
+        new = graph.where("new")
+        rows = rows.join(new.select(F.col("src").alias("at")).union(new.select("dst")).distinct(), "at", "left_semi")
+    return rows.select(F.hex("at").alias("node"), "key", "new")
 
 
 def _audit(sample, threshold: float):
@@ -276,18 +297,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     rows = store(vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_prepared, "vec_id long, label string, key binary, vec binary"), "vectors")
     nodes = store(rows.where("key IS NOT NULL").groupBy("key").agg(F.max("label").alias("label"), F.max("vec").alias("vec"), F.count("*").alias("n")), "classes")
     sizes = nodes.groupBy("label").agg(F.count("*").alias("m"))
-    starts = nodes.select("label", "key", "vec").join(store(sizes, "labels"), "label").select("label", "key", "vec", "m").mapInArrow(_codes, "node string, key binary, vec binary")
-    most = NEIGHBOURS
-    first = store(_in_nodes(store(starts, "starts"), most // 2), "first")
+    starts = nodes.select("label", "key", "vec").join(store(sizes, "labels"), "label").select("label", "key", "vec", "m").mapInArrow(_codes, "node string, key binary")
+    most, bare = NEIGHBOURS, nodes.select("key", "vec")
+    first = store(_in_nodes(store(starts.withColumn("new", F.lit(True)), "starts"), bare.withColumn("last", F.lit(-2.0)), most // 2, threshold), "first")
     links = store(first.where(F.col("cos") >= threshold).select("src", "dst").distinct(), "links")
-    graph = store(_best(first, most, threshold), "graph")
+    graph = store(_best(first.withColumn("new", F.lit(True)), most, threshold), "graph")
     recall = None
     for round_ in range(ROUNDS):
-        around = graph.select(F.col("src").alias("at"), F.col("dst").alias("key")).union(graph.select("dst", "src")).union(graph.select("src", "src")).union(graph.select("dst", "dst")).distinct()
-        joined = around.join(nodes.select("key", "vec"), "key").select(F.hex("at").alias("node"), "key", "vec")
-        found = store(_in_nodes(store(joined, "around"), most), "found")
+        around = store(_around(graph, round_ != 1), "around")  # lists grow from the third round on, so old pairs may enter
+        last = graph.where(F.col("r") == most).select(F.col("src").alias("key"), F.col("cos").alias("last"))
+        vectors = bare.join(last, "key", "left").withColumn("last", F.coalesce("last", F.lit(-2.0)))
+        found = store(_in_nodes(around, vectors, most, threshold), "found")
         links = store(links.union(found.where(F.col("cos") >= threshold).select("src", "dst")).distinct(), "links")
-        graph = store(_best(graph.union(found), most, threshold), "graph")
+        graph = store(_best(graph.select("src", "dst", "cos", F.lit(False).alias("new")).union(found.withColumn("new", F.lit(True))), most, threshold), "graph")
         labels = store(components(links), "components")
         if round_:
             recall, missed = audit(nodes, labels, threshold)
