@@ -20,10 +20,16 @@ def class_balance(df: DataFrame, y: str) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame, columns: list[str], decimals: int = 6) -> DataFrame:
-    """Rows beyond the first of each kind; numbers are rounded, half to even."""
+    """Rows beyond the first of each kind; numbers are rounded, half to even.
+
+    Texts and arrays are grouped by a 256-bit hash of the row, so that no text is shuffled."""
     kinds = dict(df.dtypes)
-    rounded = lambda c: F.transform(F.col(c), lambda v: F.bround(v.cast("double"), decimals)) if kinds[c].startswith("array") else F.bround(c, decimals) if kinds[c] in ("double", "float") else F.col(c)
-    counts = df.groupBy(*[rounded(c).alias(c) for c in columns]).agg(F.count("*").alias("k"))
+    zero = F.lit(0.0)  # added, it turns -0.0 into 0.0
+    rounded = lambda c: F.transform(F.col(c), lambda v: F.bround(v.cast("double"), decimals) + zero) if kinds[c].startswith("array") else F.bround(c, decimals) + zero if kinds[c] in ("double", "float") else F.col(c)
+    keys = [rounded(c).alias(c) for c in columns]
+    if any(kinds[c].startswith("array") or kinds[c] in ("string", "binary") for c in columns):
+        keys = [F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256).alias("_row")]
+    counts = df.groupBy(*keys).agg(F.count("*").alias("k"))
     return counts.agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("duplicates")).withColumn("severity", F.when(F.col("duplicates") > 0, "critical").otherwise("ok"))
 
 

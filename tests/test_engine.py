@@ -122,3 +122,10 @@ def test_large_samples_are_searched(spark, monkeypatch):
     ready = select.with_folds(samples(spark, signal=0.7), "binary", True, 2).cache()
     small, large = both_ways(monkeypatch, lambda: select.nested_grid(ready, "binary", [{"value": 0.1, "k": 2}, {"value": 1.0, "k": 4}]), "fold")
     assert [r[:3] for r in large] == [r[:3] for r in small] and [r[3] for r in large] == pytest.approx([r[3] for r in small], abs=1e-4)
+
+
+def test_duplicate_rows_by_hash(spark):
+    rows = [("a", [0.0, 1.0]), ("a", [-0.0, 1.0000000001]), ("a", [0.0, None]), ("a", [0.0, None]), (None, [0.0, 1.0]), (None, None), (None, None), ("", None), ("null", None), ("a", [float("nan")]), ("a", [float("nan")])]
+    df = spark.createDataFrame(rows, "t string, v array<double>")
+    assert audit.duplicate_rows(df, ["t", "v"]).first().duplicates == 4
+    assert audit.duplicate_rows(df.where("false"), ["t", "v"]).first().duplicates == 0
