@@ -23,15 +23,17 @@ gives no rows; other columns are left out.
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .shared import columns, drop, keep, passing, release, small_batches, store, table
+from .shared import columns, drop, keep, passing, small_batches, spent, store, table
 
 LEAST, HIDDEN, ROUNDS, RATE, BATCH = 64, 8, 3, 2.0, 1024
 SIDES = (-2, -1, 1, 2)
@@ -39,6 +41,8 @@ SIDES = (-2, -1, 1, 2)
 CLASSES = -1
 #: Tokens of a chunk and of a shard, and words that a lookup fetches at once.
 CHUNK, SHARD, FETCHED = 2_000_000, 4_000_000, 10_000
+#: Chunks are joined with the words' table in so many passes, so that only a part of them is shuffled at a time.
+PASSES = 2
 #: Random vectors of words, by a hash, and their dimensions; k-means starts from so many frequent words, and its rounds.
 BUCKETS, WIDTH, FIRST, TURNS = 4096, 8, 2048, 3
 #: A document's vector has this length, so sums of up to MOST tokens' vectors fit in 16 bits.
@@ -58,12 +62,10 @@ def _word(w: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-class _Places(dict):
-    """Words numbered as they come."""
-
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
+def _stored(df: DataFrame, name: str, *more: DataFrame) -> DataFrame:
+    """A working table; shuffle files of each part are gone before the next is begun."""
+    with spent(df.sparkSession):
+        return store(df, name, "zstd", *more)
 
 
 def _company(words, flat, sizes):
@@ -82,16 +84,20 @@ def _encoded(batches):
     """Rows of documents, their tokens as places in their chunk's words, compressed; rows of the chunk's words, with
     counts and company, four sums a number. What exceeds 16 bits goes on in rows without a place."""
     import numpy as np
+    import xxhash
     import zstandard
 
     names = ["chunk", "doc_id", "ids", "word", "place", "n", "v0", "v1"]
     press = zstandard.ZstdCompressor(level=1)
 
+    def numbers():  # words are numbered as they come
+        return defaultdict(itertools.count().__next__)
+
     def packed(sums):
         return [sum((sums[4 * h + i] & 0xFFFF) << (16 * i) for i in range(4)).view(np.int64) for h in range(2)]
 
     def written(known, docs, ids):
-        chunk, words = uuid.uuid4().int >> 65, np.array([_word(w) for w in known], np.int64)
+        chunk, words = uuid.uuid4().int >> 65, np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known)).view(np.int64)
         flat, sizes = np.concatenate(ids), np.array([len(x) for x in ids])
         for i in range(0, len(docs), 10_000):
             d = docs[i : i + 10_000]
@@ -113,16 +119,17 @@ def _encoded(batches):
             more = turns > 1
             place, n = place[more], ((turns - 1) * MOST)[more]
 
-    known, docs, ids, held = _Places(), [], [], 0
+    known, docs, ids, held = numbers(), [], [], 0
     for whole in batches:
         for batch in slices(whole, 1):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.array([known[w] for w in tokens(text)], np.int32)
+                words = tokens(text)
+                got = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
                 docs.append(doc), ids.append(got)
                 held += len(got) + 16
                 if held > CHUNK:
                     yield from written(known, docs, ids)
-                    known, docs, ids, held = _Places(), [], [], 0
+                    known, docs, ids, held = numbers(), [], [], 0
     if docs:
         yield from written(known, docs, ids)
 
@@ -131,7 +138,7 @@ def encode(docs: DataFrame, text: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
     number = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None)
     given = docs.select(number.cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return store(given.mapInArrow(_encoded, "chunk long, doc_id long, ids binary, word long, place int, n long, v0 long, v1 long"), "encoded", "zstd")
+    return _stored(given.mapInArrow(_encoded, "chunk long, doc_id long, ids binary, word long, place int, n long, v0 long, v1 long"), "encoded")
 
 
 class Words:
@@ -226,11 +233,10 @@ def classes(parts: DataFrame) -> tuple[Words, Words, int]:
     lanes = [F.shiftright(F.shiftleft(f"v{d // 4}", 48 - 16 * (d % 4)), 48).alias(f"s{d}") for d in range(WIDTH)]
     sums = parts.where("word IS NOT NULL").select("word", "n", *lanes).groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"s{d}").alias(f"s{d}") for d in range(WIDTH)])
     means = " | ".join(f"shiftleft(CAST(round(s{d} / n) AS BIGINT) & 255L, {8 * d})" for d in range(WIDTH))
-    counted = store(sums.select("word", (F.col("n") + 1).alias("n"), F.expr(means).alias("x")), "counted", "zstd")
-    release(spark)
+    counted = _stored(sums.select("word", (F.col("n") + 1).alias("n"), F.expr(means).alias("x")), "counted")
     words, total = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     many = class_count(words)
-    placed = store(counted.mapInArrow(_grouper(_centres(counted, max(1, many // 6))), "word long, n long, grp int").withColumn("bin", F.floor(16 * F.log2("n")).cast("int")), "grouped", "zstd")
+    placed = _stored(counted.mapInArrow(_grouper(_centres(counted, max(1, many // 6))), "word long, n long, grp int").withColumn("bin", F.floor(16 * F.log2("n")).cast("int")), "grouped")
     own = placed.where(F.col("n") > 2 * total / many).orderBy(F.desc("n"), "word").select("word", "n").collect()  # of less than half the classes
     rest = placed.where(F.col("n") <= 2 * total / many)
     bins = rest.groupBy("grp", "bin").agg(F.sum("n").alias("mass")).collect()  # 16 rows a doubling and group
@@ -252,12 +258,12 @@ def classes(parts: DataFrame) -> tuple[Words, Words, int]:
     given = F.broadcast(spark.createDataFrame(rules, "grp int, bin int, before double, mass double, base int, shares int, whole double"))
     cut = rest.join(given, ["grp", "bin"]).select("word", "n", (F.col("base") + F.least(F.col("shares") - 1, F.floor(place / F.col("whole") * F.col("shares")).cast("int"))).alias("cls"))
     alone = spark.createDataFrame([(r.word, r.n, i) for i, r in enumerate(own)], "word long, n long, cls int")
-    cut = store(cut.union(alone), "classed", "zstd")
+    cut = _stored(cut.union(alone), "classed")
     drop(counted, placed)
     of = {r.cls: r.mass for r in cut.groupBy("cls").agg(F.sum("n").alias("mass")).collect()}  # a row a class
     of[many - 1] = of.get(many - 1, 0) + 1
     given = spark.createDataFrame([(c, float(m)) for c, m in of.items()], "cls int, mass double")
-    rows = store(cut.join(F.broadcast(given), "cls").select("word", "cls", F.log(F.col("n") / F.col("mass")).alias("share")), "words", "zstd")
+    rows = _stored(cut.join(F.broadcast(given), "cls").select("word", "cls", F.log(F.col("n") / F.col("mass")).alias("share")), "words")
     drop(cut)
     return Words(rows, "cls", many - 1), Words(rows, "share", -math.log(of[many - 1])), many
 
@@ -279,10 +285,15 @@ def coded(parts: DataFrame, cls: Words, share: Words) -> DataFrame:
         ends, sums, codes = np.cumsum(sizes), np.concatenate([[0.0], np.cumsum(part[flat])]), kind[flat]
         return pa.table({"doc_id": docs.column("doc_id"), "codes": pa.array([codes[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary()), "share": pa.array(sums[ends] - sums[ends - sizes])})
 
-    docs = parts.where("ids IS NOT NULL").select("chunk", "doc_id", "ids")
-    found = parts.where("place IS NOT NULL").select("chunk", "word", "place").join(cls.rows, "word", "left")
-    found = found.select(F.col("chunk").alias("of"), "place", F.coalesce("cls", F.lit(cls.unseen)).alias("cls"), F.coalesce("share", F.lit(share.unseen)).alias("share"))
-    return store(docs.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(run, "doc_id long, codes binary, share double"), "coded", "zstd")
+    def joined(turn):
+        own = parts.where(F.expr(f"pmod(chunk, {PASSES}) = {turn}"))
+        docs = own.where("ids IS NOT NULL").select("chunk", "doc_id", "ids")
+        found = own.where("place IS NOT NULL").select("chunk", "word", "place").join(cls.rows, "word", "left")
+        found = found.select(F.col("chunk").alias("of"), "place", F.coalesce("cls", F.lit(cls.unseen)).alias("cls"), F.coalesce("share", F.lit(share.unseen)).alias("share"))
+        return docs.groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(run, "doc_id long, codes binary, share double")
+
+    first, *more = [joined(turn) for turn in range(PASSES)]
+    return _stored(first, "coded", *more)
 
 
 def _each(batches, at: int):
@@ -307,25 +318,43 @@ def _context(cls, sizes):
     """Classes on each side of every token; CLASSES beyond a document's ends."""
     import numpy as np
 
-    doc, n = np.repeat(np.arange(len(sizes)), sizes), len(cls)
-    out = np.full((len(SIDES), n), CLASSES)
-    at = np.arange(n)
+    wide = max(map(abs, SIDES))  # so many places lie between two documents
+    at = np.arange(len(cls)) + np.repeat(wide * np.arange(1, len(sizes) + 1), sizes)
+    row = np.full(len(cls) + wide * (len(sizes) + 1), CLASSES)
+    row[at] = cls
+    out = np.empty((len(SIDES), len(cls)), row.dtype)
     for s, d in enumerate(SIDES):
-        other = np.clip(at + d, 0, max(0, n - 1))
-        same = (at + d >= 0) & (at + d < n) & (doc[other] == doc)
-        out[s, same] = cls[other[same]]
+        out[s] = row[at + d]
     return out
 
 
-def _forward(weights, context):
+def _places(tables, context):
+    """Rows of all sides' tables in one, in the place of the classes."""
     import numpy as np
 
-    tables, bias, out, last = weights
-    hidden = np.tanh(bias + sum(tables[s][context[s]] for s in range(len(SIDES))))
-    z = hidden @ out + last
-    z -= z.max(axis=1, keepdims=True)
-    p = np.exp(z)
-    return hidden, p / p.sum(axis=1, keepdims=True)
+    rows = tables.shape[1]
+    context %= rows
+    context += (np.arange(len(SIDES)) * rows)[:, None]
+    return context
+
+
+def _hidden(weights, places):
+    import numpy as np
+
+    return np.tanh(weights[0].reshape(-1, HIDDEN).take(places, axis=0).sum(axis=0) + weights[1])
+
+
+def _forward(weights, places):
+    """Hidden units and the classes' probabilities."""
+    import numpy as np
+
+    hidden = _hidden(weights, places)
+    p = hidden @ weights[2]
+    p += weights[3]
+    p -= p.max(axis=1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(axis=1, keepdims=True)
+    return hidden, p
 
 
 def fit(weights, cls, sizes, rate: float = RATE):
@@ -333,19 +362,19 @@ def fit(weights, cls, sizes, rate: float = RATE):
     import numpy as np
 
     tables = weights[0]
-    context, rows = _context(cls, sizes), tables.shape[1]
-    first = (np.arange(len(SIDES)) * rows)[:, None]
+    places = _places(tables, _context(cls, sizes))
     for i in range(0, len(cls), BATCH):
-        c, y = context[:, i : i + BATCH], cls[i : i + BATCH]
-        hidden, p = _forward(weights, c)
+        at, y = places[:, i : i + BATCH], cls[i : i + BATCH]
+        hidden, p = _forward(weights, at)
         p[np.arange(len(y)), y] -= 1
         p *= rate / BATCH
         back = (p @ weights[2].T) * (1 - hidden * hidden)
         weights[2] -= hidden.T @ p
         weights[3] -= p.sum(axis=0)
         weights[1] -= back.sum(axis=0)
-        at = ((c % rows + first)[:, :, None] * HIDDEN + np.arange(HIDDEN)).ravel()
-        tables -= np.bincount(at, weights=np.tile(back.ravel(), len(SIDES)), minlength=tables.size).reshape(tables.shape).astype(np.float32)
+        at, back = at.ravel(), np.tile(back.T.astype(np.float64), len(SIDES))
+        moved = np.stack([np.bincount(at, weights=b, minlength=tables.size // HIDDEN) for b in back], axis=1)
+        tables -= moved.reshape(tables.shape).astype(np.float32)
     return weights
 
 
@@ -415,11 +444,17 @@ def log_probs(weights, cls, sizes):
     """Log-probability of each token's class given its neighbours."""
     import numpy as np
 
-    context, out = _context(cls, sizes), np.empty(len(cls))
+    places, out = _places(weights[0], _context(cls, sizes)), np.empty(len(cls))
+    both, ones = np.vstack([weights[2], weights[3]]), np.ones(len(weights[3]), weights[3].dtype)
+    large = np.abs(both).sum(axis=0).max() > 60  # hidden units are below one, so else exp() doesn't overflow
     for i in range(0, len(cls), BATCH):
-        _, p = _forward(weights, context[:, i : i + BATCH])
-        out[i : i + BATCH] = np.log(np.maximum(p[np.arange(len(p)), cls[i : i + BATCH]], 1e-30))
-    return out
+        hidden = _hidden(weights, places[:, i : i + BATCH])
+        z = np.hstack([hidden, np.ones((len(hidden), 1), hidden.dtype)]) @ both
+        if large:
+            z -= z.max(axis=1, keepdims=True)
+        own = z[np.arange(len(z)), cls[i : i + BATCH]]
+        out[i : i + BATCH] = own - np.log(np.exp(z, out=z) @ ones)
+    return np.maximum(out, math.log(1e-30))
 
 
 def _scored(rows: DataFrame, flat) -> DataFrame:
@@ -449,5 +484,4 @@ def op2(spark, sf_dir: str) -> DataFrame:
         parts = encode(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
         cls, share, many = classes(parts)
         rows = keep(coded(parts, cls, share))
-    release(spark)
     return _scored(rows, _learned(rows, many, ROUNDS))

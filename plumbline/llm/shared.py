@@ -68,11 +68,15 @@ def keep(df: DataFrame) -> DataFrame:
     return df
 
 
-def store(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write a working table and read it again: later steps start from files that outlive any executor."""
+def store(df: DataFrame, name: str, codec: str = "snappy", *more: DataFrame) -> DataFrame:
+    """Write a working table and read it again: later steps start from files that outlive any executor.
+
+    more: parts of the same table with the same columns, each written when the one before it is done.
+    """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    for part in (df, *more):
+        part.write.mode("append").option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._plumbline_path = path
     if _scopes:
@@ -86,12 +90,16 @@ def drop(*tables: DataFrame) -> None:
         delete(df.sparkSession, df._plumbline_path)
 
 
-def release(spark: SparkSession) -> None:
-    """Have shuffle files of finished steps deleted: Spark does so once the driver's JVM has collected their handles."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextlib.contextmanager
+def spent(spark: SparkSession):
+    """Shuffle files of a write inside go when the write ends, not when the driver's JVM happens to collect their handles."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def delete(spark: SparkSession, path: str) -> None:
